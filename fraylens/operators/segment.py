@@ -380,7 +380,28 @@ def keep_meaningful(candidates: DataFrame, options: Options) -> DataFrame:
 
 def segment_pulls(events: DataFrame, catalog: Catalog, options: Options, victory_hits: DataFrame | None = None) -> DataFrame:
     """Kept pulls of every log, one row each, materialised for the steps that follow."""
-    return staged(keep_meaningful(pull_candidates(events, catalog, options, victory_hits), options))
+    kept = keep_meaningful(pull_candidates(events, catalog, options, victory_hits), options)
+    bounds = events.groupBy("log_id").agg((F.max("line_number") + 1).alias("__end"))
+    bounded = kept.join(bounds, "log_id").withColumn("close_line", F.coalesce("close_line", "__end"))
+    return staged(bounded.drop("__end"))
+
+
+def gap_pulls(events: DataFrame, options: Options) -> DataFrame:
+    """Gap-only sessions in the shape of pulls, with the context of their first event."""
+    tagged = tag_gap_sessions(session_context(events, options), options)
+    sessions = tagged.groupBy(
+        *PULL, F.col("session_index").alias("pull_index"), F.col("pull_started_at").alias("started_at")
+    ).agg(
+        F.max("ts_ms").alias("ended_at"), F.min("line_number").alias("start_line"),
+        (F.max("line_number") + 1).alias("close_line"), F.min_by(F.struct(*CONTEXT), "line_number").alias("c"),
+    )
+    final = sessions.groupBy("log_id").agg(F.max("pull_index").alias("__last"))
+    reason = F.when(F.col("pull_index") < F.col("__last"), "sustained-silence").otherwise("stream-ended")
+    pulls = sessions.join(final, "log_id").select(
+        *PULL, "pull_index", "started_at", "ended_at", "start_line", "close_line",
+        (F.col("ended_at") - F.col("started_at")).alias("duration_ms"), reason.alias("end_reason"), "c.*",
+    )
+    return staged(pulls)
 
 
 def tag_pulls(events: DataFrame, pulls: DataFrame, *carry: str) -> DataFrame:
@@ -389,20 +410,15 @@ def tag_pulls(events: DataFrame, pulls: DataFrame, *carry: str) -> DataFrame:
     The pulls of a log are disjoint line intervals, so each is listed once per
     line bin it covers and the join is an equality on (log, bin).
     """
-    bounds = events.groupBy("log_id").agg(F.max("line_number").alias("__end"))
-    last_line = F.coalesce(F.col("close_line") - 1, F.col("__end"))
-    bins = (
-        pulls.join(bounds, "log_id")
-        .select("log_id", "pull_id", "start_line", last_line.alias("__last"), *carry)
-        .withColumn(
-            "__bin",
-            F.explode(
-                F.sequence(
-                    F.floor(F.col("start_line") / TAG_BIN_LINES).cast("bigint"),
-                    F.floor(F.col("__last") / TAG_BIN_LINES).cast("bigint"),
-                )
-            ),
-        )
+    last_line = F.col("close_line") - 1
+    bins = pulls.select("log_id", "pull_id", "start_line", last_line.alias("__last"), *carry).withColumn(
+        "__bin",
+        F.explode(
+            F.sequence(
+                F.floor(F.col("start_line") / TAG_BIN_LINES).cast("bigint"),
+                F.floor(F.col("__last") / TAG_BIN_LINES).cast("bigint"),
+            )
+        ),
     )
     members = events.filter(~F.col("type").isin("areaEntered", "disciplineChanged"))
     binned = members.withColumn("__bin", scan.line_block(TAG_BIN_LINES))

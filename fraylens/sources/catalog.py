@@ -11,8 +11,11 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, fields
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 from fraylens.functions import fixed
 
@@ -50,6 +53,24 @@ SCHEMAS = {
 MAX_INDEX_ROWS = 20_000
 
 
+def _named(value, kind: DataType):
+    """Positional rows as named ones, all the way down."""
+    if value is None:
+        return None
+    if isinstance(kind, StructType):
+        return {f.name: _named(v, f.dataType) for f, v in zip(kind.fields, value)}
+    if isinstance(kind, ArrayType):
+        return [_named(v, kind.elementType) for v in value]
+    return value
+
+
+def small_table(spark: SparkSession, rows: list, ddl: str) -> DataFrame:
+    """A local relation, whose known size lets the optimizer broadcast it."""
+    schema = StructType.fromDDL(ddl)
+    table = pa.Table.from_pylist([_named(r, schema) for r in rows], schema=to_arrow_schema(schema))
+    return spark.createDataFrame(table, schema)
+
+
 @dataclass(frozen=True)
 class Catalog:
     operations: DataFrame
@@ -68,7 +89,7 @@ class Catalog:
     def from_rows(cls, spark: SparkSession, rows: dict[str, list]) -> Catalog:
         """Catalogue from in-memory rows; disciplines and defensives default to the fixed tables."""
         filled = {"disciplines": fixed.table(fixed.DISCIPLINES), "defensives": fixed.table(fixed.DEFENSIVES), **rows}
-        return cls(**{f.name: spark.createDataFrame(filled.get(f.name, []), SCHEMAS[f.name]) for f in fields(cls)})
+        return cls(**{f.name: small_table(spark, filled.get(f.name, []), SCHEMAS[f.name]) for f in fields(cls)})
 
     @classmethod
     def read(cls, spark: SparkSession, directory: str, names: set[str]) -> Catalog:
