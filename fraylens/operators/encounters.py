@@ -23,23 +23,76 @@ def npc_names(npcs: DataFrame, npc_catalog: DataFrame, id_column: str = "npc_id"
     ).drop("__catalog")
 
 
-def engaged_npcs(tagged: DataFrame, npc_catalog: DataFrame) -> DataFrame:
+def pull_facts(tagged: DataFrame) -> DataFrame:
+    """Who was engaged, died, took part or showed health in each pull, from one pass over the events.
+
+    One row per pull, fact, entity and logged name; as many rows as a pull has
+    distinct entities, whatever its number of events.
+    """
+    killed = (F.col("type") == "death") & F.col("target_kind").isNotNull()
+    cast = (F.col("type") == "ability") & (F.col("phase") == "activate") & F.col("ability_id").isNotNull()
+    took_part = combat.player("source") & (combat.raid_damage() | (F.col("type") == "heal") | cast)
+
+    def fact(condition: Column, kind: str, side: str, damage: Column | None = None) -> Column:
+        entity = F.when(F.col(f"{side}_kind") == "npc", F.col(f"{side}_npc_id")).otherwise(F.col(f"{side}_id"))
+        return F.when(
+            condition,
+            F.struct(
+                F.lit(kind).alias("fact"), F.col(f"{side}_kind").alias("kind"), entity.alias("id"),
+                F.col(f"{side}_name").alias("name"), F.col(f"{side}_hp").alias("hp"), F.col(f"{side}_max_hp").alias("max_hp"),
+                F.lit(0 if side == "source" else 1).alias("slot"),
+                (F.lit(0) if damage is None else damage).cast("double").alias("damage"),
+            ),
+        )
+
+    dealt = F.when(combat.raid_damage(), combat.applied()).otherwise(F.lit(0))
+    facts = F.explode(
+        F.array(
+            fact(combat.raid_damage(), "engaged", "target"),
+            fact(killed, "dead", "target"),
+            fact(took_part, "part", "source", dealt),
+            fact(F.col("source_max_hp") > 0, "health", "source"),
+            fact(F.col("target_max_hp") > 0, "health", "target"),
+        )
+    )
+    rows = tagged.select(*PULL, "line_number", "ts_ms", facts.alias("f")).filter(F.col("f").isNotNull())
+    flat = rows.select(*PULL, "line_number", "ts_ms", "f.*")
+    order = F.struct("line_number", "slot")
+    return flat.groupBy(*PULL, "fact", "kind", "id", "name").agg(
+        F.min("line_number").alias("first_line"), F.max("line_number").alias("last_line"), F.count(F.lit(1)).alias("times"),
+        F.max("max_hp").alias("max_hp"), F.max_by(F.struct("hp"), order).alias("last"), F.max(order).alias("last_order"),
+        F.max(F.struct("max_hp", -F.col("line_number"), -F.col("slot"))).alias("peak_order"), F.sum("damage").alias("damage"),
+    )
+
+
+def engaged_npcs(facts: DataFrame, npc_catalog: DataFrame) -> DataFrame:
     """NPC classes the raid damaged in each pull, with the line that first did so."""
-    hits = tagged.filter(combat.raid_damage()).groupBy(
-        *PULL, F.col("target_npc_id").alias("npc_id"), F.col("target_name").alias("raw_name")
-    ).agg(F.min("line_number").alias("first_line"))
+    hits = facts.filter(F.col("fact") == "engaged").select(
+        *PULL, F.col("id").alias("npc_id"), F.col("name").alias("raw_name"), "first_line"
+    )
     named = npc_names(hits, npc_catalog, name_column="raw_name")
     return named.withColumn("name", combat.normalise(F.col("canonical_name"))).drop("name_source")
 
 
-def dead_npcs(tagged: DataFrame, npc_catalog: DataFrame) -> DataFrame:
+def dead_npcs(facts: DataFrame, npc_catalog: DataFrame) -> DataFrame:
     """NPC classes that died in each pull."""
-    deaths = tagged.filter((F.col("type") == "death") & combat.npc("target")).groupBy(
-        *PULL, F.col("target_npc_id").alias("npc_id"), F.col("target_name").alias("raw_name")
-    ).agg(F.min("line_number").alias("first_line"), F.max("line_number").alias("last_line"))
+    deaths = facts.filter((F.col("fact") == "dead") & (F.col("kind") == "npc")).select(
+        *PULL, F.col("id").alias("npc_id"), F.col("name").alias("raw_name"), "first_line", "last_line"
+    )
     return npc_names(deaths, npc_catalog, name_column="raw_name").drop("name_source")
 
 
+def participants(facts: DataFrame) -> DataFrame:
+    """Players who damaged an NPC, healed, or activated an ability."""
+    return facts.filter(F.col("fact") == "part").select(*PULL, F.col("id").alias("player_id")).distinct()
+
+
+def dead_players(facts: DataFrame) -> DataFrame:
+    """Players who died in each pull and how often."""
+    died = facts.filter((F.col("fact") == "dead") & (F.col("kind") == "player"))
+    return died.groupBy(*PULL, F.col("id").alias("player_id")).agg(F.sum("times").alias("deaths"))
+
+
 def encounter_names(encounters: DataFrame) -> DataFrame:
     return encounters.select(
         F.col("id").alias("encounter_id"), "catalog_order", "operation_id", F.explode("boss_names").alias("name")
@@ -177,7 +230,7 @@ def catalog_roles(enemies: DataFrame, catalog) -> DataFrame:
     return joined.select(*enemies.columns, role.alias("role"))
 
 
-def boss_of_pull(tagged: DataFrame, engaged: DataFrame, matches: DataFrame, options: Options) -> DataFrame:
+def boss_of_pull(facts: DataFrame, engaged: DataFrame, matches: DataFrame, options: Options) -> DataFrame:
     """Largest engaged NPC by max health; the first one engaged wins a tie.
 
     It counts as a likely boss when the pull matched an encounter, or when its
@@ -185,19 +238,12 @@ def boss_of_pull(tagged: DataFrame, engaged: DataFrame, matches: DataFrame, opti
     player health was seen).
     """
 
-    def side(name: str, slot: int) -> Column:
-        return F.struct(
-            F.col(f"{name}_kind").alias("kind"), F.col(f"{name}_npc_id").alias("npc_id"), F.col(f"{name}_name").alias("name"),
-            F.col(f"{name}_hp").alias("hp"), F.col(f"{name}_max_hp").alias("max_hp"), F.lit(slot).alias("slot"),
-        )
-
-    seen = tagged.select(*PULL, "line_number", F.explode(F.array(side("source", 0), side("target", 1))).alias("s"))
-    seen = seen.filter(F.col("s.max_hp") > 0).select(*PULL, "line_number", "s.*")
-    order = F.struct("line_number", "slot")
-    health = seen.groupBy(*PULL, F.when(F.col("kind") == "npc", F.col("npc_id")).alias("npc_id")).agg(
+    health = facts.filter(F.col("fact") == "health").groupBy(
+        *PULL, F.when(F.col("kind") == "npc", F.col("id")).alias("npc_id")
+    ).agg(
         F.max("max_hp").alias("max_hp"),
-        F.max_by(F.struct("hp"), order).alias("last"),
-        F.max_by("name", F.struct("max_hp", -F.col("line_number"), -F.col("slot"))).alias("seen_name"),
+        F.max_by("last", "last_order").alias("last"),
+        F.max_by("name", "peak_order").alias("seen_name"),
     )
     peak = health.filter(F.col("npc_id").isNull()).select(*PULL, F.col("max_hp").alias("peak_player_hp"))
     first = engaged.groupBy(*PULL, "npc_id").agg(
@@ -304,13 +350,13 @@ def single_instance_resets(seen: DataFrame, matches: DataFrame, catalog, options
         *PULL, "npc_id", "first_ts",
         F.explode(
             F.array(
-                F.struct(F.col("first_line").alias("line_number"), F.lit(1).alias("alive")),
-                F.struct(F.col("death_line").alias("line_number"), F.lit(-1).alias("alive")),
+                F.struct(F.col("first_line").alias("line_number"), F.lit(0).alias("step"), F.lit(1).alias("alive")),
+                F.struct(F.col("death_line").alias("line_number"), F.lit(1).alias("step"), F.lit(-1).alias("alive")),
             )
         ).alias("c"),
     ).filter(F.col("c.line_number").isNotNull()).select(*PULL, "npc_id", "first_ts", "c.*")
     alive = scan.running(
-        changes, [*PULL, "npc_id"], ["line_number", "alive"], scan.line_block(options.block_lines),
+        changes, [*PULL, "npc_id"], ["line_number", "step"], scan.line_block(options.block_lines),
         {"before": scan.total(F.col("alive"), inclusive=False)},
     )
     resets = alive.filter((F.col("alive") == 1) & (F.col("before") > 0))

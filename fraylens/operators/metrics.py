@@ -23,20 +23,6 @@ ACTOR_SUMS = [
 ]
 
 
-def _row(condition: Column, actor: str, **measures: Column) -> Column:
-    """One contribution of ``actor`` (``source``/``target``), or null when the condition fails."""
-    filled = [measures.get(name, F.lit(0)).cast("double").alias(name) for name in ACTOR_SUMS]
-    fields = [
-        F.col(f"{actor}_id").alias("actor_id"),
-        F.col(f"{actor}_name").alias("name"),
-        measures.get("damage_type", F.lit(None).cast("string")).alias("damage_type"),
-        measures.get("mitigation", F.lit(None).cast("string")).alias("mitigation"),
-        measures.get("type_amount", F.lit(0)).cast("double").alias("type_amount"),
-        *filled,
-    ]
-    return F.when(condition, F.struct(*fields))
-
-
 def with_ability_flags(events: DataFrame, off_gcd: DataFrame, interrupts: DataFrame) -> DataFrame:
     """Adds whether an ability is off the global cooldown and whether it interrupts."""
     off = off_gcd.select("ability_id").distinct().withColumn("is_off_gcd", F.lit(True))
@@ -46,49 +32,70 @@ def with_ability_flags(events: DataFrame, off_gcd: DataFrame, interrupts: DataFr
 
 
 def contributions(events: DataFrame, keys: list[str] = PULL) -> DataFrame:
-    """What every player adds to every total, one row per event and player.
+    """What every player adds to every total: one row per event and side that counts.
 
-    Expects ``with_ability_flags``.  A hit on a player counts for the target
-    whoever dealt it; damage dealt counts only from players to NPCs.
+    Expects ``with_ability_flags``.  Side 0 is the source, side 1 the target.  A
+    hit on a player counts for the target whoever dealt it; damage dealt counts
+    only from players to NPCs.
     """
-    applied, lost = combat.applied(), combat.mitigated()
-    one = F.lit(1)
-    landed = F.when(F.col("amount") > 0, one).otherwise(F.lit(0))
-    critical = F.when(F.col("critical"), one).otherwise(F.lit(0))
-    typed = {"damage_type": F.col("damage_type"), "mitigation": F.col("mitigation"), "type_amount": applied}
-    dealt = _row(
-        combat.raid_damage(), "source",
-        damage=applied, damage_hits=landed, critical_hits=critical,
-        critical_damage=F.when(F.col("critical"), applied).otherwise(F.lit(0)),
-        mitigated_damage=lost, overkill=combat.overkill(), threat=F.coalesce(F.col("threat"), F.lit(0)), **typed,
-    )
-    taken = _row(
-        (F.col("type") == "damage") & combat.player("target"), "target",
-        damage_taken=applied, absorbed=F.coalesce(F.col("absorbed"), F.lit(0)), incoming_attacks=one, incoming_hits=landed,
-        defenses=F.when((F.col("amount") == 0) & F.col("mitigation").isNotNull(), one).otherwise(F.lit(0)),
-        shielded_hits=F.when(F.col("mitigation") == "shield", one).otherwise(F.lit(0)),
-        mitigated_damage=lost, **typed,
-    )
-    healed = _row(
-        (F.col("type") == "heal") & combat.player("source"), "source",
-        healing=applied, overhealing=lost, healing_events=one, healing_critical_hits=critical,
+    source, target = F.col("side") == 0, F.col("side") == 1
+    of = {t: F.col("type") == t for t in ("damage", "heal", "ability", "death")}
+    dealt = source & of["damage"] & (F.col("target_kind") == "npc")
+    taken = target & of["damage"]
+    healed = source & of["heal"]
+    is_cast = source & of["ability"] & F.col("ability_id").isNotNull()
+    acted = is_cast & (F.col("phase") == "activate")
+    kicked = is_cast & (F.col("phase") == "interrupt") & F.col("is_interrupt")
+    died = target & of["death"]
+    applied, lost = F.col("applied"), F.col("lost")
+    landed = F.col("amount") > 0
+    measures = {
+        "damage": (dealt, applied),
+        "healing": (healed, applied),
+        "overhealing": (healed, lost),
+        "damage_taken": (taken, applied),
+        "absorbed": (taken, F.col("absorbed")),
+        "actions": (acted, None),
+        "on_gcd_actions": (acted & ~F.col("is_off_gcd"), None),
+        "off_gcd_actions": (acted & F.col("is_off_gcd"), None),
+        "interrupts": (kicked, None),
+        "damage_hits": (dealt & landed, None),
+        "healing_events": (healed, None),
+        "healing_critical_hits": (healed & F.col("critical"), None),
+        "incoming_attacks": (taken, None),
+        "incoming_hits": (taken & landed, None),
+        "defenses": (taken & (F.col("amount") == 0) & F.col("mitigation").isNotNull(), None),
+        "shielded_hits": (taken & (F.col("mitigation") == "shield"), None),
+        "critical_hits": (dealt & F.col("critical"), None),
+        "critical_damage": (dealt & F.col("critical"), applied),
+        "mitigated_damage": (dealt | taken, lost),
+        "overkill": (dealt, combat.overkill()),
+        "threat": (dealt, F.col("threat")),
+        "deaths": (died, None),
+    }
+
+    def measure(name: str) -> Column:
+        condition, value = measures[name]
+        amount = F.lit(1.0) if value is None else F.coalesce(value, F.lit(0)).cast("double")
+        return F.when(condition, amount).otherwise(F.lit(0.0)).alias(name)
+
+    hit = dealt | taken
+    sided = (
+        events.filter(combat.is_type("damage", "heal", "ability", "death"))
+        .withColumns({"applied": combat.applied(), "lost": combat.mitigated()})
+        .withColumn("side", F.explode(F.array(F.lit(0), F.lit(1))))
+        .filter(F.when(F.col("side") == 0, F.col("source_kind")).otherwise(F.col("target_kind")) == "player")
     )
-    is_cast = (F.col("type") == "ability") & F.col("ability_id").isNotNull() & combat.player("source")
-    acted = _row(
-        is_cast & (F.col("phase") == "activate"), "source",
-        actions=one,
-        off_gcd_actions=F.when(F.col("is_off_gcd"), one).otherwise(F.lit(0)),
-        on_gcd_actions=F.when(F.col("is_off_gcd"), F.lit(0)).otherwise(one),
+    counted = sided.filter(dealt | taken | healed | acted | kicked | died)
+    return counted.select(
+        *keys, "line_number", "ts_ms", "side",
+        F.when(source, F.col("source_id")).otherwise(F.col("target_id")).alias("actor_id"),
+        F.when(source, F.col("source_name")).otherwise(F.col("target_name")).alias("name"),
+        F.when(hit, F.col("damage_type")).alias("damage_type"),
+        F.when(hit, F.col("mitigation")).alias("mitigation"),
+        F.when(hit, applied).otherwise(F.lit(0)).cast("double").alias("type_amount"),
+        *[measure(name) for name in ACTOR_SUMS],
     )
-    kicked = _row(is_cast & (F.col("phase") == "interrupt") & F.col("is_interrupt"), "source", interrupts=one)
-    died = _row((F.col("type") == "death") & combat.player("target"), "target", deaths=one)
-    # One event feeds at most one row on its source side and one on its target side.
-    sides = F.array(F.coalesce(dealt, healed, acted, kicked), F.coalesce(taken, died))
-    relevant = events.filter(combat.is_type("damage", "heal", "ability", "death"))
-    exploded = relevant.select(
-        *keys, "line_number", "ts_ms", F.posexplode(sides).alias("side", "c"),
-    )
-    return exploded.filter(F.col("c").isNotNull()).select(*keys, "line_number", "ts_ms", "side", "c.*")
 
 
 def totals(rows: DataFrame, keys: list[str], whole: bool = False) -> DataFrame:
@@ -149,12 +156,6 @@ def rates(actor_totals: DataFrame, duration_ms: Column) -> DataFrame:
     )
 
 
-def participants(rows: DataFrame, keys: list[str] = PULL) -> DataFrame:
-    """Players who damaged an NPC, healed, or activated an ability."""
-    took_part = (F.col("side") == 0) & (F.col("interrupts") == 0)
-    return rows.filter(took_part).select(*keys, F.col("actor_id").alias("player_id")).distinct()
-
-
 def discipline_as_of(events: DataFrame, first_seen: DataFrame, disciplines: DataFrame, options: Options) -> DataFrame:
     """Roster entry in force when each actor first appears in its pull.
 

@@ -73,13 +73,18 @@ class Fights:
     def ability_usage(self) -> DataFrame:
         return abilities.ability_usage(self.ability_rows, self.catalog.abilities, whole=self._whole)
 
+    @cached_property
+    def facts(self) -> DataFrame:
+        """Pull-level facts, written once: matching, boss and outcome all read them."""
+        return staged(encounters.pull_facts(self.tagged))
+
     @cached_property
     def engaged(self) -> DataFrame:
-        return staged(encounters.engaged_npcs(self.tagged, self.catalog.npc_catalog))
+        return encounters.engaged_npcs(self.facts, self.catalog.npc_catalog)
 
     @cached_property
     def dead(self) -> DataFrame:
-        return encounters.dead_npcs(self.tagged, self.catalog.npc_catalog)
+        return encounters.dead_npcs(self.facts, self.catalog.npc_catalog)
 
     @cached_property
     def matches(self) -> DataFrame:
@@ -99,7 +104,7 @@ class Fights:
 
     @cached_property
     def boss(self) -> DataFrame:
-        return encounters.boss_of_pull(self.tagged, self.engaged, self.matches, self.options)
+        return encounters.boss_of_pull(self.facts, self.engaged, self.matches, self.options)
 
     @cached_property
     def resets(self) -> DataFrame:
@@ -107,16 +112,20 @@ class Fights:
 
     @cached_property
     def participants(self) -> DataFrame:
-        return metrics.participants(self.contributions)
+        return encounters.participants(self.facts)
 
     @cached_property
     def player_deaths(self) -> DataFrame:
         return deaths.player_deaths(self.tagged)
 
+    @cached_property
+    def dead_players(self) -> DataFrame:
+        return encounters.dead_players(self.facts)
+
     @cached_property
     def outcomes(self) -> DataFrame:
         return encounters.pull_outcomes(
-            self.pulls, self.matches, self.cleared, self.boss, self.dead, self.player_deaths, self.participants,
+            self.pulls, self.matches, self.cleared, self.boss, self.dead, self.dead_players, self.participants,
             self.resets if self.options.strict_reset else None,
         )
 
@@ -128,8 +137,8 @@ class Fights:
     def fights(self) -> DataFrame:
         """One row per pull with everything the roll-ups read."""
         first_boss = encounters.first_boss_entity(self.entity_roles)
-        died = self.player_deaths.groupBy(*PULL).agg(F.count(F.lit(1)).alias("player_deaths"))
-        dealt = self.contributions.groupBy(*PULL).agg(
+        died = self.dead_players.groupBy(*PULL).agg(F.sum("deaths").alias("player_deaths"))
+        dealt = self.facts.filter("fact = 'part'").groupBy(*PULL).agg(
             F.sum("damage").cast("bigint" if self._whole else "double").alias("damage")
         )
         joined = self.outcomes.join(first_boss, PULL, "left").join(died, PULL, "left").join(dealt, PULL, "left")

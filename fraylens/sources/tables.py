@@ -37,7 +37,7 @@ def _side(side: str) -> str:
     return f"""
  CASE {side}_kind WHEN 'player' THEN pid WHEN 'npc' THEN inst END AS {side}_id,
  CASE {side}_kind WHEN 'player' THEN concat('Player ', pid)
-   WHEN 'npc' THEN CASE nid WHEN '3' THEN 'Vault Core' WHEN '7' THEN 'Drone Swarm' ELSE concat('Npc ', nid) END
+   WHEN 'npc' THEN CASE nid WHEN '9' THEN 'Vault Core' WHEN '10' THEN 'Drone Swarm' ELSE concat('Npc ', nid) END
  END AS {side}_name,
  CASE WHEN {side}_kind = 'npc' THEN nid END AS {side}_npc_id,
  CASE {side}_kind WHEN 'player' THEN CASE WHEN k % 9 <> 0 THEN CAST((100 - k) * 20 AS BIGINT) END
@@ -54,7 +54,7 @@ SELECT log_id, line_number, ts_ms, type, phase, state,
  target_kind,{_side("target")}
  CASE WHEN type IN ('damage', 'heal', 'ability') THEN aid END AS ability_id,
  CASE WHEN type IN ('damage', 'heal', 'ability') THEN
-   CASE aid WHEN '17' THEN 'Core Terminal' ELSE concat('Ability ', aid) END END AS ability_name,
+   CASE WHEN aid IN ('2', '7', '12', '17') THEN 'Core Terminal' ELSE concat('Ability ', aid) END END AS ability_name,
  CASE WHEN type IN ('applyEffect', 'removeEffect', 'modifyCharges') THEN fid END AS effect_id,
  CASE WHEN type IN ('applyEffect', 'removeEffect', 'modifyCharges') THEN
    CASE fid WHEN '3' THEN ' Iron SKIN ' ELSE concat('Effect ', fid) END END AS effect_name,
