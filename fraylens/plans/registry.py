@@ -15,7 +15,7 @@ from fraylens.operators.segment import CONTEXT, PULL
 from fraylens.plans import ansi
 from fraylens.plans.fights import Fights
 from fraylens.sources import catalog as catalogs
-from fraylens.sources import sinks
+from fraylens.sources import parse, sinks, wire
 from fraylens.sources.sample_catalog import sample_catalog
 from fraylens.sources.tables import SCALED_OPTIONS, combat_events, read_table
 
@@ -1010,3 +1010,115 @@ def _quality(spark, sf_dir):
 )
 def _formatted(f):
     return f.pulls.select(*PULL, text.duration(F.col("duration_ms")).alias("length"), text.clock(F.col("started_at")).alias("clock"))
+
+
+# Text lines and wire batches made from the events.
+
+def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events written back as log lines, which the parser has to read as they were."""
+    events = combat_events(spark, sf_dir)
+
+    def actor(side: str):
+        health = F.concat(F.lit("|(1.0,2.0,3.0,4.0)|("), F.coalesce(F.col(f"{side}_hp").cast("string"), F.lit("?")), F.lit("/"), F.col(f"{side}_max_hp").cast("string"), F.lit(")"))
+        player = F.concat(F.lit("@"), F.col(f"{side}_name"), F.lit("#"), F.col(f"{side}_id"), health)
+        npc = F.concat(F.col(f"{side}_name"), F.lit(" {"), F.col(f"{side}_npc_id"), F.lit("}:"), F.col(f"{side}_id"), health)
+        return F.when(F.col(f"{side}_kind") == "player", player).when(F.col(f"{side}_kind") == "npc", npc).otherwise("")
+
+    ability = F.when(F.col("ability_id").isNotNull(), F.concat("ability_name", F.lit(" {"), "ability_id", F.lit("}"))).otherwise("")
+    effect = (
+        F.when(F.col("type") == "damage", "ApplyEffect {836045448945477}: Damage {836045448945501}")
+        .when(F.col("type") == "heal", "ApplyEffect {836045448945477}: Heal {836045448945500}")
+        .when(F.col("type") == "applyEffect", F.concat(F.lit("ApplyEffect {836045448945477}: E {"), "effect_id", F.lit("}")))
+        .when(F.col("type") == "removeEffect", F.concat(F.lit("RemoveEffect {836045448945478}: E {"), "effect_id", F.lit("}")))
+        .when(F.col("type") == "death", "Event {836045448945472}: Death {836045448945493}")
+        .when(F.col("type") == "ability", F.when(F.col("phase") == "activate", "Event {836045448945472}: A {836045448945479}").otherwise("Event {836045448945472}: I {836045448945482}"))
+        .when(F.col("type") == "combatState", F.when(F.col("state") == "enter", "Event {836045448945472}: In {836045448945489}").otherwise("Event {836045448945472}: Out {836045448945490}"))
+        .otherwise("not an effect")
+    )
+    crit = F.when(F.col("critical"), "*").otherwise("")
+    landed = F.when(F.col("effective").isNotNull(), F.concat(F.lit(" ~"), F.col("effective").cast("string"))).otherwise("")
+    avoided = F.when(F.col("mitigation").isNotNull(), F.concat(F.lit(" -"), "mitigation")).otherwise("")
+    value = F.when(F.col("amount").isNotNull(), F.concat(F.lit(" ("), F.col("amount").cast("string"), crit, landed, avoided, F.lit(")"))).otherwise("")
+    clock = F.date_format(F.timestamp_millis("ts_ms"), "HH:mm:ss.SSS")
+    raw = F.concat(F.lit("["), clock, F.lit("] ["), actor("source"), F.lit("] ["), actor("target"), F.lit("] ["), ability, F.lit("] ["), effect, F.lit("]"), value)
+    return events.select(
+        F.concat(F.lit("log-"), F.col("log_id").cast("string")).alias("log_id"), F.lit("combat_2024-01-01_00_00_00.txt").alias("file_name"), "line_number", raw.alias("raw"),
+    )
+
+
+@register(
+    "parse_lines",
+    """SELECT concat('log-', CAST(log_id AS VARCHAR)) AS log_id, line_number,
+ CASE WHEN type IN ('damage', 'heal', 'applyEffect', 'removeEffect', 'death', 'ability', 'combatState') THEN type ELSE 'unknown' END AS type,
+ source_name, source_hp, CASE WHEN target_kind = 'npc' THEN target_npc_id END AS target_npc_id, ability_id,
+ CAST(amount AS DOUBLE) AS amount, CAST(effective AS DOUBLE) AS effective, mitigation FROM ev""",
+)
+def _parse_lines(spark, sf_dir):
+    events = parse.parse_lines(event_lines(spark, sf_dir), O)
+    return events.select(
+        "log_id", F.col("lineNumber").alias("line_number"), "type", F.col("source.name").alias("source_name"), F.col("source.hp").alias("source_hp"),
+        F.col("target.npcId").alias("target_npc_id"), F.col("ability.id").alias("ability_id"), F.col("value.amount").alias("amount"),
+        F.col("value.effective").alias("effective"), F.col("value.mitigation").alias("mitigation"),
+    )
+
+
+@register(
+    "line_clock",
+    """SELECT concat('log-', CAST(log_id AS VARCHAR)) AS log_id, line_number, CAST(1704067200000 + 86400000 * coalesce(sum(CASE WHEN before - tod > 43200000 THEN 1 ELSE 0 END)
+  OVER (PARTITION BY log_id ORDER BY line_number), 0) + tod AS BIGINT) AS timestamp
+FROM (SELECT *, lag(tod) OVER (PARTITION BY log_id ORDER BY line_number) AS before FROM (SELECT log_id, line_number, ts_ms % 86400000 AS tod FROM ev))""",
+)
+def _line_clock(spark, sf_dir):
+    lines = parse.with_slots(event_lines(spark, sf_dir))
+    return parse.clock_times(lines, O).select("log_id", "line_number", "timestamp")
+
+
+def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as JSON batches of fifty lines per log, some of them damaged on purpose."""
+    events = combat_events(spark, sf_dir)
+    actor = F.when(
+        F.col("source_kind") == "player",
+        F.struct(F.lit("player").alias("kind"), F.col("source_name").alias("name"), F.col("source_id").alias("playerId"), F.col("source_hp").alias("hp"), F.col("source_max_hp").alias("maxHp")),
+    )
+    value = F.when(
+        F.col("amount").isNotNull(),
+        F.struct(F.lit("magnitude").alias("kind"), F.col("amount").cast("double").alias("amount"), "critical", F.col("damage_type").alias("damageType"), F.lit(False).alias("reflected")),
+    )
+    kept = events.filter(F.col("type").isin("damage", "heal", "death", "combatState"))
+    event = F.struct(
+        F.when(F.col("line_number") % 401 == 0, F.lit(-1)).otherwise(F.col("ts_ms")).alias("timestamp"), F.col("line_number").alias("lineNumber"),
+        F.when(F.col("line_number") % 307 == 0, "nonsense").otherwise(F.col("type")).alias("type"), actor.alias("source"), value.alias("value"), "state",
+        F.when(F.col("type") == "death", False).alias("revived"),
+    )
+    sequence = F.floor(F.col("line_number") / 50).cast("bigint")
+    grouped = kept.groupBy("log_id", sequence.alias("sequence")).agg(F.array_sort(F.collect_list(F.struct("line_number", event.alias("e")))).getField("e").alias("events"))
+    session = F.concat(F.lit("00000000-0000-0000-0000-"), F.lpad(F.col("log_id").cast("string"), 12, "0"))
+    return grouped.select("log_id", "sequence", F.to_json(F.struct(session.alias("sessionId"), "sequence", "events")).alias("value"))
+
+
+@register(
+    "wire_checks",
+    """SELECT log_id, line_number // 50 AS sequence,
+ CASE arg_min(fault, line_number) FILTER (fault IS NOT NULL) WHEN 1 THEN 'unknown event type' WHEN 2 THEN 'bad timestamp or line number' END AS reason FROM (
+ SELECT *, CASE WHEN line_number % 307 = 0 THEN 1 WHEN line_number % 401 = 0 THEN 2 END AS fault FROM ev WHERE type IN ('damage', 'heal', 'death', 'combatState')) GROUP BY ALL""",
+)
+def _wire(spark, sf_dir):
+    return wire.check_batches(wire.read_batches(batches(spark, sf_dir))).select("log_id", "sequence", "reason")
+
+
+# Full segmentation.
+
+@register("pulls_full")
+def _pulls_full(spark, sf_dir):
+    return full_fights(spark, sf_dir).pulls.drop("close_line")
+
+
+@register("fights_full")
+def _fights_full(spark, sf_dir):
+    f = full_fights(spark, sf_dir)
+    return f.fights.select(*_OUTCOME.split(", "), "player_deaths", "damage", "boss_remaining_percent")
+
+
+@register("actor_rates_full")
+def _actors_full(spark, sf_dir):
+    return full_fights(spark, sf_dir).actors.select(*PULL, "actor_id", "role", *RATES)
