@@ -17,7 +17,8 @@ from fraylens.plans.fights import Fights
 from fraylens.sources import catalog as catalogs
 from fraylens.sources import parse, sinks, wire
 from fraylens.sources.sample_catalog import sample_catalog
-from fraylens.sources.tables import SCALED_OPTIONS, combat_events, read_table
+from fraylens.sources.tables import SCALED_OPTIONS, combat_events, project_combat, read_table
+from fraylens.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -1122,3 +1123,44 @@ def _fights_full(spark, sf_dir):
 @register("actor_rates_full")
 def _actors_full(spark, sf_dir):
     return full_fights(spark, sf_dir).actors.select(*PULL, "actor_id", "role", *RATES)
+
+
+# Streams over the event table, run over what is available.
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = read_table(spark, sf_dir, "events").schema
+    # A glob, because a file source takes a directory or a pattern and the table may be either.
+    raw = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+    return project_combat(raw)
+
+
+@register("stream_pulls")
+def _stream_pulls(spark, sf_dir):
+    stream = live.live_pulls(event_stream(spark, sf_dir), sample_catalog(spark), O, F.col("log_id"), quiet_timers=False)
+    return live.run_available(stream)
+
+
+@register(
+    "stream_windows",
+    """SELECT log_id, CAST(ts_ms // 3600000 * 3600000 AS BIGINT) AS window_start_ms,
+ CAST(sum(CASE WHEN type = 'damage' AND source_kind = 'player' AND target_kind = 'npc' THEN coalesce(effective, amount) ELSE 0 END) AS BIGINT) AS damage,
+ CAST(sum(CASE WHEN type = 'heal' AND source_kind = 'player' THEN coalesce(effective, amount) ELSE 0 END) AS BIGINT) AS healing,
+ CAST(sum(CASE WHEN type = 'damage' AND target_kind = 'player' THEN coalesce(effective, amount) ELSE 0 END) AS BIGINT) AS damage_taken, count(*) AS events
+FROM ev WHERE type IN ('damage', 'heal') GROUP BY ALL""",
+)
+def _stream_windows(spark, sf_dir):
+    stream = live.tumbling_metrics(live.timed(event_stream(spark, sf_dir)), "1 hour", "1 hour")
+    return live.run_available(stream, "complete")
+
+
+@register("stream_status", "SELECT log_id, count(*) AS events_received, max(ts_ms) AS last_seen_at FROM ev GROUP BY log_id")
+def _stream_status(spark, sf_dir):
+    return live.run_available(live.stream_status(event_stream(spark, sf_dir)), "complete")
+
+
+@register("stream_dedup", "SELECT DISTINCT log_id AS session_id, line_number // 50 AS sequence FROM ev")
+def _stream_dedup(spark, sf_dir):
+    sent = live.timed(event_stream(spark, sf_dir)).select(
+        F.col("log_id").alias("session_id"), F.floor(F.col("line_number") / 50).cast("bigint").alias("sequence"), F.col("event_time").alias("arrived_at")
+    )
+    return live.run_available(live.dedup_batches(sent, "30 days")).select("session_id", "sequence")
