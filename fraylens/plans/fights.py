@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fraylens.operators import abilities, deaths, encounters, enemies, metrics, segment
+from fraylens.operators import abilities, deaths, encounters, enemies, mechanics, metrics, segment
 from fraylens.operators.segment import PULL
 from fraylens.operators.staging import staged
 from fraylens.options import Options
@@ -143,3 +143,9 @@ class Fights:
         )
         joined = self.outcomes.join(first_boss, PULL, "left").join(died, PULL, "left").join(dealt, PULL, "left")
         return staged(joined.na.fill(0, ["player_deaths", "damage"]))
+
+    @cached_property
+    def mechanics(self) -> DataFrame:
+        """Phase, counter, timer, shield and victory records, written once."""
+        bindings = encounters.match_definitions(self.engaged, self.catalog.encounter_defs, steps=True)
+        return staged(mechanics.run_mechanics(self.tagged, self.pulls, bindings, self.catalog))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fraylens.functions import combat, text
 from fraylens.operators import (
-    abilities, accounts, deaths, effects, encounters, enemies, metrics, quality, rollups, roster, segment,
+    abilities, accounts, deaths, effects, encounters, enemies, mechanics, metrics, quality, rollups, roster, segment,
 )
 from fraylens.operators.segment import CONTEXT, PULL
 from fraylens.plans import ansi
@@ -1164,3 +1164,26 @@ def _stream_dedup(spark, sf_dir):
         F.col("log_id").alias("session_id"), F.floor(F.col("line_number") / 50).cast("bigint").alias("sequence"), F.col("event_time").alias("arrived_at")
     )
     return live.run_available(live.dedup_batches(sent, "30 days")).select("session_id", "sequence")
+
+
+# Encounter mechanics.
+
+@on_gaps("encounter_runtime")
+def _runtime(f):
+    return f.mechanics
+
+
+@on_gaps("phase_segments")
+def _phase_segments(f):
+    return mechanics.phase_segments(f.mechanics, f.pulls)
+
+
+@on_gaps(
+    "definition_match",
+    """SELECT log_id, pull_id, definition_id, matched_ids FROM (
+ SELECT *, row_number() OVER (PARTITION BY log_id, pull_id ORDER BY matched_ids DESC, touched, definition_id) AS rn FROM (
+  SELECT log_id, pull_id, CASE WHEN npc_id = '0' THEN 'd1' ELSE 'd2' END AS definition_id, count(DISTINCT npc_id) AS matched_ids, min(first_line) AS touched
+  FROM engaged WHERE npc_id IN ('0', '1', '2') GROUP BY ALL)) WHERE rn = 1""",
+)
+def _definition_match(f):
+    return encounters.match_definitions(f.engaged, f.catalog.encounter_defs)

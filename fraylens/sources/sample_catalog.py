@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import SparkSession
 
 from fraylens.sources.catalog import Catalog
@@ -42,6 +44,22 @@ ROWS = {
     "abilities": [(str(i), f"Known {i}", "tech" if i % 2 else "ranged", "energy" if i % 3 else "kinetic") for i in range(0, 20, 3)],
     "off_gcd": [(str(i),) for i in range(0, 20, 4)],
     "interrupts": [("0",), ("10",)],
+    "encounter_defs": [
+        ("d1", "Gate Keeper", ["0"], json.dumps({
+            "entityNpcIds": {},
+            "phases": [
+                {"id": "open", "order": 1, "name": "Opening", "startTrigger": {"kind": "combatStart"}},
+                {"id": "burn", "order": 2, "name": "Burn", "startTrigger": {"kind": "counterReaches", "counterId": "hits", "value": 2}, "resetsCounters": ["hits"]},
+            ],
+            "counters": [{"id": "hits", "name": "Hits", "incrementOn": {"kind": "damageDealt", "abilities": [], "source": {"kind": "player"}}}],
+            "timers": [{"id": "t", "name": "T", "trigger": {"kind": "phaseEntered", "phaseId": "burn"}, "durationMs": 1_800_000, "enabled": True, "canRefresh": False}],
+        })),
+        ("d2", "Twin Lords", ["1", "2"], json.dumps({
+            "phases": [{"id": "all", "order": 1, "name": "All", "startTrigger": {"kind": "combatStart"}}],
+            "shields": [{"id": "s", "targetNpcIds": ["1", "2"], "hp": [{"total": 900, "difficulties": []}],
+                         "startTrigger": {"kind": "npcAppears", "selector": [{"id": "1"}, {"id": "2"}]}, "endTrigger": {"kind": "entityDeath", "selector": [{"id": "1"}]}}],
+        })),
+    ],
     "defensives": [("Ward", "0", "self"), ("Iron Skin", None, "absorb"), ("Guard", "5", "external")],
 }
 
