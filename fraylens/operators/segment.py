@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fraylens.functions import combat
@@ -71,23 +71,32 @@ def session_context(events: DataFrame, options: Options) -> DataFrame:
     a missing server keeps the previous one; the local player is the first player
     seen as the source of an area entry or combat state.
     """
+    inputs = events.select("*", *[value.alias(name) for name, value in _context_inputs().items()])
+    scanned = scan.running(inputs, ["log_id"], ["line_number"], scan.line_block(options.block_lines), _context_specs())
+    return scanned.select(*events.columns, *_context_columns())
+
+
+def _context_inputs() -> dict[str, Column]:
+    """What an event says about the context, null where it says nothing."""
     area = F.col("type") == "areaEntered"
-    zone = F.struct("zone_id", "zone_name", "difficulty", "group_size")
     declares = combat.is_type("areaEntered", "combatState") & combat.player("source")
-    scanned = scan.running(
-        events, ["log_id"], ["line_number"], scan.line_block(options.block_lines),
-        {
-            "__zone": scan.last(F.when(area, zone)),
-            "ctx_server_id": scan.last(F.when(area, F.col("server_id"))),
-            "local_player_id": scan.first(F.when(declares, F.col("source_id"))),
-        },
-    )
-    return scanned.select(
-        *events.columns,
-        F.col("__zone.zone_id").alias("ctx_zone_id"), F.col("__zone.zone_name").alias("ctx_zone_name"),
-        F.col("__zone.difficulty").alias("ctx_difficulty"), F.col("__zone.group_size").alias("ctx_group_size"),
-        "ctx_server_id", "local_player_id",
-    )
+    return {
+        "zone_in": F.when(area, F.struct("zone_id", "zone_name", "difficulty", "group_size")),
+        "server_in": F.when(area, F.col("server_id")),
+        "local_in": F.when(declares, F.col("source_id")),
+    }
+
+
+def _context_specs() -> dict[str, scan.Running]:
+    return {
+        "__zone": scan.last(F.col("zone_in")), "__server": scan.last(F.col("server_in")), "__local": scan.first(F.col("local_in")),
+    }
+
+
+def _context_columns() -> list[Column]:
+    zone = F.col("__zone")
+    parts = [zone["zone_id"], zone["zone_name"], zone["difficulty"], zone["group_size"], F.col("__server"), F.col("__local")]
+    return [part.alias(name) for part, name in zip(parts, CONTEXT)]
 
 
 CONTEXT = ["ctx_zone_id", "ctx_zone_name", "ctx_difficulty", "ctx_group_size", "ctx_server_id", "local_player_id"]
@@ -124,7 +133,7 @@ def _flags(events: DataFrame, catalog: Catalog, matcher: EncounterMatcher, victo
         ).alias("died"),
         F.when(marked, text).alias("text"),
         F.coalesce(combat.raid_damage() & (combat.applied() > 0), F.lit(False)).alias("hit"),
-        *CONTEXT,
+        *[value.alias(name) for name, value in _context_inputs().items()],
     )
     if victory_hits is None:
         return flags.withColumn("victory_of", F.lit(None).cast("array<string>"))
@@ -154,8 +163,12 @@ def decision_steps(flags: DataFrame, options: Options) -> DataFrame:
             "prev_clock": scan.last(F.when(F.col("is_clock"), ts), inclusive=False),
             "peak": scan.highest(F.when(ticking, ts), inclusive=False),
             "after_area": scan.last(F.col("is_area"), inclusive=False),
+            **_context_specs(),
         },
     )
+    # Every scan reads its input twice, so the narrow result of the first is written before the next two.
+    kept = [c for c in first.columns if c not in ("zone_in", "server_in", "local_in", "__zone", "__server", "__local")]
+    first = staged(first.select(*kept, *_context_columns()))
     first = scan.running(first, *order, {"floor": scan.lowest(F.when(ticking, ts))}, descending=True)
     silent = (ts - F.col("peak") >= options.longest_silence_ms) & (
         F.col("floor") - F.col("peak") >= options.reopen_guard_ms
@@ -337,8 +350,7 @@ def _entry_bits(chunks: DataFrame, options: Options) -> DataFrame:
 def pull_candidates(events: DataFrame, catalog: Catalog, options: Options, victory_hits: DataFrame | None = None) -> DataFrame:
     """Every pull the state machine closes, before trivial ones are discarded."""
     matcher = EncounterMatcher(catalog.encounter_index(), catalog.definition_index())
-    with_context = session_context(events, options)
-    steps = decision_steps(_flags(with_context, catalog, matcher, victory_hits), options)
+    steps = decision_steps(_flags(events, catalog, matcher, victory_hits), options)
     log_type = dict(events.dtypes)["log_id"]
     folded = staged(
         steps.repartition("log_id", "chunk_line")
@@ -387,19 +399,28 @@ def segment_pulls(events: DataFrame, catalog: Catalog, options: Options, victory
 
 
 def gap_pulls(events: DataFrame, options: Options) -> DataFrame:
-    """Gap-only sessions in the shape of pulls, with the context of their first event."""
-    tagged = tag_gap_sessions(session_context(events, options), options)
-    sessions = tagged.groupBy(
-        *PULL, F.col("session_index").alias("pull_index"), F.col("pull_started_at").alias("started_at")
-    ).agg(
-        F.max("ts_ms").alias("ended_at"), F.min("line_number").alias("start_line"),
-        (F.max("line_number") + 1).alias("close_line"), F.min_by(F.struct(*CONTEXT), "line_number").alias("c"),
-    )
-    final = sessions.groupBy("log_id").agg(F.max("pull_index").alias("__last"))
-    reason = F.when(F.col("pull_index") < F.col("__last"), "sustained-silence").otherwise("stream-ended")
-    pulls = sessions.join(final, "log_id").select(
-        *PULL, "pull_index", "started_at", "ended_at", "start_line", "close_line",
-        (F.col("ended_at") - F.col("started_at")).alias("duration_ms"), reason.alias("end_reason"), "c.*",
+    """Gap-only sessions in the shape of pulls, with the context of their first event.
+
+    One scan finds the session starts; the small table of starts then gives
+    index and end, since the highest time before a start is the end of the
+    session before it.
+    """
+    inputs = events.select("log_id", "line_number", "ts_ms", *[v.alias(n) for n, v in _context_inputs().items()])
+    specs = {**_context_specs(), "prior": scan.highest(F.col("ts_ms"), inclusive=False)}
+    scanned = scan.running(inputs, ["log_id"], ["line_number"], scan.line_block(options.block_lines), specs)
+    begins = F.col("prior").isNull() | (F.col("ts_ms") - F.col("prior") >= options.idle_ms)
+    starts = staged(scanned.filter(begins).select("log_id", "line_number", "ts_ms", "prior", *_context_columns()))
+    order = (["log_id"], ["line_number"], scan.line_block(options.block_lines))
+    numbered = scan.running(starts, *order, {"pull_index": scan.total(F.lit(1).cast("bigint"))})
+    following = F.struct(F.col("line_number").alias("line"), F.col("prior").alias("ended"))
+    linked = scan.running(numbered, *order, {"next": scan.last(following, inclusive=False)}, descending=True)
+    tails = events.groupBy("log_id").agg(F.max("ts_ms").alias("__ts"), F.max("line_number").alias("__line"))
+    ended = F.coalesce("next.ended", "__ts")
+    pulls = linked.join(tails, "log_id").select(
+        "log_id", F.concat_ws("-", "ts_ms", "pull_index").alias("pull_id"), "pull_index", F.col("ts_ms").alias("started_at"),
+        ended.alias("ended_at"), F.col("line_number").alias("start_line"), F.coalesce("next.line", F.col("__line") + 1).alias("close_line"),
+        (ended - F.col("ts_ms")).alias("duration_ms"),
+        F.when(F.col("next").isNotNull(), "sustained-silence").otherwise("stream-ended").alias("end_reason"), *CONTEXT,
     )
     return staged(pulls)
 
