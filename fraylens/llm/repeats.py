@@ -36,7 +36,7 @@ from fraylens.llm.common import encoded, staged
 
 BLOCK_BYTES = 4 << 20
 #: Text bytes whose anchors meet in a bucket, and whose passages meet in a shard.
-BUCKET_BYTES, SHARD_BYTES = 96 << 20, 16 << 20
+BUCKET_BYTES, SHARD_BYTES = 96 << 20, 8 << 20
 HOT = 50_000
 _NO_ID = (1 << 63) - 1
 _CHUNK = 1 << 16
@@ -226,7 +226,8 @@ def _sent_passages(scheme: Scheme, shards: int):
                         else:
                             for k, v in enumerate((g, *place, s, n, len(text), text)):
                                 lists[k].append(v)
-                rows = [(shard, r["block"], *lists[:6], b"".join(lists[6]), *lists[7:]) for shard, lists in out.items()]
+                pack = zstandard.ZstdCompressor(level=3).compress
+                rows = [(shard, r["block"], *lists[:6], pack(b"".join(lists[6])), *lists[7:]) for shard, lists in out.items()]
                 if rows:
                     long = pa.list_(pa.int64())
                     kinds = [pa.int32(), pa.int64(), long, long, long, long, pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), long, long]
@@ -258,7 +259,8 @@ def _answered(scheme: Scheme, batch_bytes: int = 1 << 20):
         n = [len(x) for x in part["anchors"]]
         g, ids, starts, places, windows, sizes = map(flat, ("anchors", "ids", "starts", "places", "windows", "sizes"))
         row = np.repeat(np.arange(len(part)), n)
-        content, cuts = b"".join(part["content"]), np.cumsum(np.append(0, sizes))
+        unpack = zstandard.ZstdDecompressor().decompress
+        content, cuts = b"".join([unpack(x) for x in part["content"]]), np.cumsum(np.append(0, sizes))
         cut_at, cut_size = [list(x) for x in part["cut_at"]], [list(x) for x in part["cut_size"]]
         order = np.argsort(g, kind="stable")
         volume = np.cumsum(sizes[order])
