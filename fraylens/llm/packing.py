@@ -35,7 +35,10 @@ CAPACITY = 2048
 END_ID = 0
 #: Pieces that a hash bucket of one length holds on average at most, were all of one length.
 BUCKET_ROWS = 200_000
-_WORDS_KEPT = 700_000
+#: Words of the younger and of the older generation that a worker remembers, each.
+_WORDS_KEPT = 450_000
+#: ASCII punctuation.
+_MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class _WordIds(dict):
@@ -46,16 +49,37 @@ class _WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.older: dict[bytes, bytes] = {}
 
     def of(self, texts: list[list[bytes]]) -> list[bytes]:
         if len(self) > _WORDS_KEPT:
+            self.older = dict(self)
             self.clear()
-        new = list({w for words in texts for w in words if w not in self})
-        for at in range(0, len(new), 20_000):
-            self._learn(new[at : at + 20_000])
+        self._know({w for words in texts for w in words if w not in self})
         get = self.__getitem__
         return [b"".join(map(get, words)) for words in texts]
 
+    def _know(self, words: set[bytes]) -> None:
+        """Adds new words. Letters with ASCII punctuation behind them are encoded apart: no token spans the two."""
+        parted, whole = [], set()
+        for w in words:
+            if w in self.older:
+                self[w] = self.older[w]
+                continue
+            core = w.rstrip(_MARKS)
+            if len(core) < len(w) and core.decode("utf-8", "replace").lower().isalpha():
+                parted.append((w, core, w[len(core) :]))
+                whole |= {core, w[len(core) :]}
+            else:
+                whole.add(w)
+        for w in [w for w in whole if w in self.older]:
+            self[w] = self.older[w]
+        new = [w for w in whole if w not in self]
+        for at in range(0, len(new), 20_000):
+            self._learn(new[at : at + 20_000])
+        for w, core, marks in parted:
+            self[w] = self[core] + self[marks]
+
     def _learn(self, words: list[bytes]) -> None:
         """Encodes new words as one text; where a token begins tells its word."""
         plain = [w.decode("utf-8", "replace") for w in words]
