@@ -47,6 +47,15 @@ def actor_key(side: str) -> Column:
     )
 
 
+def spoken() -> list[Column]:
+    """Names that may prove a victory: an effect speaks when it comes or goes, a category only of unclassified events."""
+    return [
+        F.col("ability_name"),
+        F.when(F.col("type").isin("applyEffect", "removeEffect"), F.col("effect_name")),
+        F.when(F.col("type") == "other", F.col("category_name")),
+    ]
+
+
 def is_activity() -> Column:
     """Events that open or refresh a pull."""
     cast = (F.col("type") == "ability") & (F.col("phase") == "activate") & player("source")

@@ -146,7 +146,7 @@ def text_phases(tagged: DataFrame, matches: DataFrame, encounters: DataFrame, op
             )
         ).alias("threshold"),
     )
-    text = combat.normalise(F.concat(F.coalesce("ability_name", F.lit("")), F.lit(" "), F.coalesce("effect_name", F.lit(""))))
+    text = combat.normalise(F.concat(F.coalesce("ability_name", F.lit("")), F.lit(" "), F.coalesce(combat.spoken()[1], F.lit(""))))
     hp = F.when(combat.npc("target"), combat.hp_percent(F.col("target_hp"), F.col("target_max_hp")))
     died = F.when(F.col("type") == "death", combat.normalise(F.col("target_name")))
     marks = tagged.select(*PULL, "line_number", "ts_ms", text.alias("text"), hp.alias("hp"), died.alias("died"))

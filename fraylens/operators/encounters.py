@@ -303,8 +303,8 @@ def victory_evidence(tagged: DataFrame, steps: DataFrame, encounters: DataFrame,
     ``steps`` is the running match (``match_encounters(..., steps=True)``); an
     event is judged by the encounter known before it.
     """
-    text = F.lower(F.concat_ws(" ", "ability_name", "effect_name", "category_name"))
-    names = F.concat_ws(" / ", "ability_name", "effect_name", "category_name")
+    text = F.lower(F.concat_ws(" ", *combat.spoken()))
+    names = F.concat_ws(" / ", *combat.spoken())
     any_marker = "|".join(fixed.VICTORY_MARKERS)
     said = tagged.filter(text.rlike(any_marker)).select(
         *PULL, "line_number", "ts_ms", text.alias("text"), names.alias("said"),

@@ -111,7 +111,7 @@ def _flags(events: DataFrame, catalog: Catalog, matcher: EncounterMatcher, victo
     known = (
         canonical.isin(names) | combat.normalise(F.col("target_name")).isin(names) | F.col("target_npc_id").isin(ids)
     )
-    text = F.lower(F.concat_ws(" ", "ability_name", "effect_name", "category_name"))
+    text = F.lower(F.concat_ws(" ", *combat.spoken()))
     markers = matcher.text_markers
     marked = text.rlike("|".join(markers)) if markers else F.lit(False)
     flags = named.select(
@@ -445,13 +445,3 @@ def tag_pulls(events: DataFrame, pulls: DataFrame, *carry: str) -> DataFrame:
     binned = members.withColumn("__bin", scan.line_block(TAG_BIN_LINES))
     inside = F.col("line_number").between(F.col("start_line"), F.col("__last"))
     return binned.join(bins, ["log_id", "__bin"]).filter(inside).drop("__bin", "start_line", "__last")
-
-
-def retained_events(tagged: DataFrame, options: Options) -> DataFrame:
-    """Raw events kept per pull: the first ``raw_event_cap``, with a flag on pulls that lost some."""
-    counted = scan.running(
-        tagged, PULL, ["line_number"], scan.line_block(options.block_lines),
-        {"__position": scan.total(F.lit(1).cast("bigint"))},
-    )
-    sizes = tagged.groupBy(*PULL).agg((F.count(F.lit(1)) > options.raw_event_cap).alias("truncated"))
-    return counted.filter(F.col("__position") <= options.raw_event_cap).drop("__position").join(sizes, PULL)

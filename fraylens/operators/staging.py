@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach: ``spark.checkpoint.dir``, or a new one when unset."""
+    """Folder every executor can reach: ``spark.checkpoint.dir``; local mode, which is one machine, gets a new one when unset."""
     sc = spark.sparkContext
     configured = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
     if configured is None:
+        if sc.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="fraylens-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(configured)

@@ -21,7 +21,6 @@ class Options:
     storage_bucket_ms: int = 10_000
     storage_part_events: int = 4_000
     retention_days: int | None = None
-    raw_event_cap: int = 250_000
     close_wipe_percent: float = 15.0
     strict_reset: bool = False
     #: Lines of one log scanned by one task; bounds every per-log window.

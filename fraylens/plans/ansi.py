@@ -239,8 +239,10 @@ SELECT log_id, pull_id, at_line, encounter_id FROM (
  SELECT *, row_number() OVER (PARTITION BY log_id, pull_id, at_line ORDER BY score DESC, catalog_order) AS rn FROM step_scores) WHERE rn = 1""",
     "markers": _values("marker", [(m,) for m in fixed.VICTORY_MARKERS]),
     "said": """
-SELECT log_id, pull_id, line_number, ts_ms, lower(concat_ws(' ', ability_name, effect_name, category_name)) AS text,
- concat_ws(' / ', ability_name, effect_name, category_name) AS said, CASE WHEN source_kind = 'player' THEN source_id END AS actor_id, target_npc_id FROM t""",
+SELECT log_id, pull_id, line_number, ts_ms, lower(concat_ws(' ', ability_name, spoken_effect, spoken_category)) AS text,
+ concat_ws(' / ', ability_name, spoken_effect, spoken_category) AS said, CASE WHEN source_kind = 'player' THEN source_id END AS actor_id, target_npc_id
+FROM (SELECT *, CASE WHEN type IN ('applyEffect', 'removeEffect') THEN effect_name END AS spoken_effect,
+ CASE WHEN type = 'other' THEN category_name END AS spoken_category FROM t)""",
     "evidence": f"""
 SELECT log_id, pull_id, ts_ms, said, actor_id, target_npc_id, line_number FROM (
  SELECT s.*, row_number() OVER (PARTITION BY s.log_id, s.pull_id ORDER BY s.line_number) AS rn

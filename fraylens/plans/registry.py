@@ -464,7 +464,7 @@ _PHASES = """
     OR CAST(t.target_hp AS DOUBLE) / t.target_max_hp * 100.0 <= r.threshold AND t.target_kind = 'npc'
     OR (txt <> '' AND (contains(txt, r.name) OR contains(txt, concat('phase ', CAST(r.phase_order AS VARCHAR)))))
     OR (t.type = 'death' AND lower(trim(t.target_name)) = r.death_name) THEN r.phase_order END) AS candidate
-  FROM (SELECT *, trim(lower(concat(coalesce(ability_name, ''), ' ', coalesce(effect_name, '')))) AS txt FROM t) t
+  FROM (SELECT *, trim(lower(concat(coalesce(ability_name, ''), ' ', coalesce(CASE WHEN type IN ('applyEffect', 'removeEffect') THEN effect_name END, '')))) AS txt FROM t) t
   JOIN matches m ON m.log_id = t.log_id AND m.pull_id = t.pull_id JOIN enc_phases r ON r.encounter_id = m.encounter_id
   GROUP BY t.log_id, t.pull_id, t.line_number)"""
 

@@ -145,10 +145,10 @@ def read_report(fights: DataFrame, reports: DataFrame, guild_id: str, code: str)
     return one.join(nested, ["guild_id", "report_code"], "left")
 
 
-def list_reports(reports: DataFrame, guild_id: str, limit: int = 50, largest: int = 200) -> DataFrame:
+def list_reports(reports: DataFrame, guild_id: str, limit: int = 50) -> DataFrame:
     """Newest reports of a guild; the headline counts come from an aggregate, fights stay unread."""
     mine = reports.filter(F.col("guild_id") == guild_id)
-    return mine.orderBy(F.desc("started_at"), "report_code").limit(max(1, min(limit, largest)))
+    return mine.orderBy(F.desc("started_at"), "report_code").limit(limit)
 
 
 def pull_event_id(kind: str, log_file: Column) -> Column:

@@ -180,7 +180,7 @@ def _prepared(events: DataFrame, catalog: Catalog, session: Column) -> DataFrame
         combat.applied().cast("double").alias("applied"), combat.is_clock().alias("is_clock"), combat.is_activity().alias("is_activity"),
         combat.is_state("enter").alias("is_enter"), combat.is_state("exit").alias("is_exit"),
         combat.normalise(F.coalesce("__name", "target_name")).alias("canonical"),
-        F.lower(F.concat_ws(" ", "ability_name", "effect_name", "category_name")).alias("text"),
+        F.lower(F.concat_ws(" ", *combat.spoken())).alias("text"),
     )
 
 
