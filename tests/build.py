@@ -16,12 +16,12 @@ def who(kind, id_, name, npc_id=None, hp=None, max_hp=None, pos=None):
     return {"kind": kind, "id": id_, "name": name, "npc_id": npc_id, "hp": hp, "max_hp": max_hp, "pos": pos}
 
 
-LOCAL = who("player", "1", "Local", hp=100, max_hp=100)
-ALLY = who("player", "2", "Ally", hp=100, max_hp=100)
-BOSS = who("npc", "1", "Dash'Roode", "boss", 5_000_000, 21_829_804)
-TRASH = who("npc", "2", "Trash Mob", "trash", 4_000, 4_000)
-SOA = who("npc", "soa-1", "Soa", "soa", 8_000_000, 10_000_000)
-PYLON = who("npc", "pylon-1", "Ancient Pylon Defense System", "pylon", 1_000_000, 1_000_000)
+ORLA = who("player", "p7", "Orla", hp=640, max_hp=700)
+BEM = who("player", "p9", "Bem", hp=580, max_hp=580)
+WARDEN = who("npc", "w-31", "Glass Warden", "n500", 2_400_000, 9_600_000)
+RAT = who("npc", "v-4", "Cave Rat", "n501", 1_500, 1_500)
+HYDRA = who("npc", "h-2", "Tide Hydra", "n502", 900_000, 1_000_000)
+OBELISK = who("npc", "o-8", "Mirror Obelisk", "n503", 70_000, 70_000)
 
 
 def event(ts, type_, source=None, target=None, **fields):
@@ -50,18 +50,15 @@ def death(ts, victim):
 
 
 def combat_state(ts, state):
-    return event(ts, "combatState", LOCAL, state=state)
+    return event(ts, "combatState", ORLA, state=state)
 
 
 def area(ts):
-    return event(
-        ts, "areaEntered", LOCAL, zone_name="Darvannis", zone_id="137438993037", server_id="he3000",
-        group_size=8, difficulty="Veteran",
-    )
+    return event(ts, "areaEntered", ORLA, zone_name="Salt Caverns", zone_id="z77", server_id="s3", group_size=4, difficulty="Veteran")
 
 
 def discipline(ts, player, name, role):
-    return event(ts, "disciplineChanged", player, advanced_class="Guardian", discipline=name, role=role)
+    return event(ts, "disciplineChanged", player, advanced_class="Sentry", discipline=name, role=role)
 
 
 def flat(spark, rows, log_id="log"):
@@ -91,18 +88,17 @@ def encounter(id_, bosses, operation="op", order=1, catalog_order=1, requires=()
 
 CATALOG_ROWS = {
     "operations": [
-        ("snv", "Scum and Villainy", "", ["137438993037"], ["darvannis"], False, ["Story", "Veteran", "Master"], [8, 16]),
-        ("ev", "Eternity Vault", "", [], ["eternity vault"], False, ["Story", "Veteran"], [8, 16]),
+        ("salt", "Salt Caverns", "", ["z77"], ["salt caverns"], False, ["Story", "Veteran", "Master"], [4, 8]),
+        ("peak", "Howling Peak", "", [], ["howling peak"], False, ["Story", "Veteran"], [8]),
     ],
     "encounters": [
-        encounter("ev_pylons", ["ancient pylon defense system", "ancient pylon"], "ev", 1, 1,
-                  victory="Puzzle solved / four rings aligned"),
-        encounter("ev_soa", ["soa"], "ev", 2, 2, phases=[
-            phase(1, "One", "Encounter start"), phase(2, "Two", "Drops below 75%"), phase(3, "Three", "At 30% or less")]),
-        encounter("snv_dashroode", ["dash'roode"], "snv", 1, 3, adds=["Dustclaw"], ids=["3153558262251520"]),
-        encounter("snv_warlords", ["sunder", "tu'chuk"], "snv", 2, 4, requires=["sunder", "tu'chuk"]),
+        encounter("peak_obelisk", ["mirror obelisk", "obelisk"], "peak", 1, 1, victory="Prism puzzle aligned"),
+        encounter("peak_hydra", ["tide hydra"], "peak", 2, 2, phases=[
+            phase(1, "Scales", "Encounter start"), phase(2, "Venom", "Under 66% health"), phase(3, "Rage", "33%")]),
+        encounter("salt_warden", ["glass warden"], "salt", 1, 3, adds=["Shardling"], ids=["n500"]),
+        encounter("salt_twins", ["ember twin", "frost twin"], "salt", 2, 4, requires=["ember twin", "frost twin"]),
     ],
     "npc_catalog": [],
-    "off_gcd": [("off-1",)],
-    "interrupts": [("kick",)],
+    "off_gcd": [("free-1",)],
+    "interrupts": [("snap",)],
 }
