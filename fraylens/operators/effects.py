@@ -127,12 +127,12 @@ def latest_positions(tagged: DataFrame, keys: list[str] = PULL) -> DataFrame:
     )
 
 
-def text_phases(tagged: DataFrame, matches: DataFrame, encounters: DataFrame, options: Options) -> DataFrame:
-    """Phase order in force at every event of pulls whose phases are described by text only.
+def phase_candidates(tagged: DataFrame, matches: DataFrame, encounters: DataFrame) -> DataFrame:
+    """Highest phase order that every event reaches, in pulls whose phases are described by text only.
 
     A phase is reached when an NPC's health falls to the highest percentage its
     trigger names, when its name (or "phase N") appears in the ability or effect,
-    or when the NPC its death trigger names has died.  Orders never go back.
+    or when the NPC its death trigger names has died; the first phase is reached by every event.
     """
     phase = F.explode("phases").alias("ph")
     rules = encounters.select(F.col("id").alias("encounter_id"), phase).select(
@@ -166,24 +166,55 @@ def text_phases(tagged: DataFrame, matches: DataFrame, encounters: DataFrame, op
         return by_health | by_text | by_death
 
     order = F.array_max(F.transform(F.filter("rules", reached), lambda r: r["phase_order"]))
-    candidate = joined.join(table, "encounter_id").select(
-        *PULL, "line_number", "ts_ms", "first_order", F.greatest("first_order", order).alias("candidate")
+    return joined.join(table, "encounter_id").select(
+        *PULL, "line_number", "ts_ms", F.greatest("first_order", order).alias("phase_order")
     )
+
+
+def text_phases(tagged: DataFrame, matches: DataFrame, encounters: DataFrame, options: Options) -> DataFrame:
+    """Phase order in force at every event: the highest reached so far, as orders never go back."""
+    reached = phase_candidates(tagged, matches, encounters).withColumnRenamed("phase_order", "candidate")
     scanned = scan.running(
-        candidate, PULL, ["line_number"], scan.line_block(options.block_lines), {"phase_order": scan.highest(F.col("candidate"))}
+        reached, PULL, ["line_number"], scan.line_block(options.block_lines), {"phase_order": scan.highest(F.col("candidate"))}
     )
     return scanned.select(*PULL, "line_number", "ts_ms", "phase_order")
 
 
-def phase_entries(phases: DataFrame, options: Options) -> DataFrame:
-    """Lines at which ``text_phases`` moves on, with the end of each phase."""
-    block = scan.line_block(options.block_lines)
-    lagged = scan.running(phases, PULL, ["line_number"], block, {"before": scan.last(F.col("phase_order"), inclusive=False)})
-    entries = lagged.filter(F.col("before").isNull() | (F.col("phase_order") > F.col("before")))
-    following = scan.running(
-        entries, PULL, ["line_number"], block, {"ended_at": scan.last(F.col("ts_ms"), inclusive=False)}, descending=True
+def phase_entries(phases: DataFrame) -> DataFrame:
+    """Lines at which a pull moves on to a higher phase, with the end of each phase.
+
+    Takes ``phase_candidates`` or ``text_phases``.  One aggregation keeps the first
+    line of every order; the windows see no more rows of a pull than it has phases.
+    """
+    firsts = phases.groupBy(*PULL, "phase_order").agg(
+        F.min("line_number").alias("line_number"), F.min_by("ts_ms", "line_number").alias("started_at")
+    )
+    by_line = Window.partitionBy(*PULL).orderBy("line_number")
+    before = F.max("phase_order").over(by_line.rowsBetween(Window.unboundedPreceding, -1))
+    entries = firsts.withColumn("__before", before).filter(F.col("__before").isNull() | (F.col("phase_order") > F.col("__before")))
+    return entries.select(
+        *PULL, "phase_order", "started_at", F.lead("started_at").over(by_line).alias("ended_at"), "line_number",
+        F.lead("line_number").over(by_line).alias("next_line"),
+    )
+
+
+def phase_tagged(tagged: DataFrame, entries: DataFrame) -> DataFrame:
+    """Events with the phase they belong to; the event that causes a change belongs to the new phase.
+
+    The join is an equality on the pull and meets at most as many rows as the
+    pull has phases; pulls without phases drop out.
+    """
+    spans = entries.select(*PULL, F.col("phase_order").alias("segment_index"), F.col("line_number").alias("__from"), F.col("next_line").alias("__to"))
+    inside = (F.col("line_number") >= F.col("__from")) & (F.col("__to").isNull() | (F.col("line_number") < F.col("__to")))
+    return tagged.join(spans, PULL).filter(inside).drop("__from", "__to")
+
+
+def phase_bounds(entries: DataFrame, pulls: DataFrame) -> DataFrame:
+    """Phase segments with their bounds; the last one ends with its pull."""
+    ends = pulls.select(*PULL, F.col("ended_at").alias("__end"))
+    return entries.join(ends, PULL).select(
+        *PULL, F.col("phase_order").alias("segment_index"), "started_at", F.coalesce("ended_at", "__end").alias("ended_at")
     )
-    return following.select(*PULL, "phase_order", F.col("ts_ms").alias("started_at"), "ended_at", "line_number")
 
 
 def active_target(events: DataFrame, options: Options, hold_ms: int = 10_000) -> DataFrame:

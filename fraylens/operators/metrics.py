@@ -199,15 +199,14 @@ def actor_metrics(
     return rates(joined.withColumn("role", role), F.col("duration_ms"))
 
 
-def phase_metrics(tagged: DataFrame, segments: DataFrame, catalog, keys: list[str] = PULL) -> DataFrame:
+def phase_metrics(tagged: DataFrame, segments: DataFrame, catalog, keys: list[str] = PULL, whole: bool = False) -> DataFrame:
     """Totals and rates of every actor in every phase segment.
 
     ``tagged`` carries ``segment_index``; ``segments`` gives each segment's bounds.
     """
     by_segment = [*keys, "segment_index"]
     rows = contributions(with_ability_flags(tagged, catalog.off_gcd, catalog.interrupts), by_segment)
-    bounds = segments.select(*by_segment, "phase_id", "phase_order", "started_at", "ended_at")
-    joined = totals(rows, by_segment).join(bounds, by_segment)
+    joined = totals(rows, by_segment, whole).join(segments.select(*by_segment, "started_at", "ended_at"), by_segment)
     length = F.greatest(F.col("ended_at") - F.col("started_at"), F.lit(1))
     active = F.greatest(F.col("last_action_at") - F.col("first_action_at"), F.lit(0))
     return rates(joined.withColumn("active_ms", active), length)

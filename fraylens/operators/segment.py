@@ -29,38 +29,32 @@ PULL = ["log_id", "pull_id"]
 TAG_BIN_LINES = 4_096
 
 
-def tag_gap_sessions(events: DataFrame, options: Options) -> DataFrame:
-    """Events with the index, start and id of their gap-only session."""
-    block = scan.line_block(options.block_lines)
-    prior = scan.running(
-        events, ["log_id"], ["line_number"], block, {"__prior": scan.highest(F.col("ts_ms"), inclusive=False)}
-    )
-    starts = F.col("__prior").isNull() | (F.col("ts_ms") - F.col("__prior") >= options.idle_ms)
-    flagged = prior.withColumn("__starts", starts)
-    tagged = scan.running(
-        flagged, ["log_id"], ["line_number"], block,
-        {
-            "session_index": scan.total(F.col("__starts").cast("bigint")),
-            "pull_started_at": scan.last(F.when(F.col("__starts"), F.col("ts_ms"))),
-        },
-    )
-    return tagged.drop("__prior", "__starts").withColumn(
-        "pull_id", F.concat_ws("-", F.col("pull_started_at"), F.col("session_index"))
-    )
-
-
 def gap_sessions(events: DataFrame, options: Options) -> DataFrame:
-    """One row per gap-only session."""
-    return (
-        tag_gap_sessions(events, options)
-        .groupBy("log_id", "pull_id", F.col("session_index").alias("pull_index"), F.col("pull_started_at").alias("started_at"))
-        .agg(
-            F.max("ts_ms").alias("ended_at"),
-            F.min("line_number").alias("start_line"),
-            F.max("line_number").alias("last_line"),
-            F.count(F.lit(1)).alias("event_count"),
-        )
-        .withColumn("duration_ms", F.col("ended_at") - F.col("started_at"))
+    """One row per gap-only session.
+
+    One scan finds the rows that start a session; end, last line and count of a
+    session are running values of the row that starts the next one, since a start
+    is later than everything before it.
+    """
+    prior = {
+        "prior": scan.highest(F.col("ts_ms"), inclusive=False),
+        "prior_line": scan.last(F.col("line_number"), inclusive=False),
+        "prior_count": scan.total(F.lit(1).cast("bigint"), inclusive=False),
+    }
+    order = (["log_id"], ["line_number"], scan.line_block(options.block_lines))
+    scanned = scan.running(events.select("log_id", "line_number", "ts_ms"), *order, prior)
+    begins = F.col("prior").isNull() | (F.col("ts_ms") - F.col("prior") >= options.idle_ms)
+    starts = staged(scanned.filter(begins))
+    numbered = scan.running(starts, *order, {"pull_index": scan.total(F.lit(1).cast("bigint"))})
+    tail = F.struct(F.col("prior").alias("ts"), F.col("prior_line").alias("line"), F.col("prior_count").alias("count"))
+    linked = scan.running(numbered, *order, {"next": scan.last(tail, inclusive=False)}, descending=True)
+    whole = F.struct(F.max("ts_ms").alias("ts"), F.max("line_number").alias("line"), F.count(F.lit(1)).alias("count"))
+    logs = events.groupBy("log_id").agg(whole.alias("__whole"))
+    end = F.coalesce("next", "__whole")
+    return linked.join(logs, "log_id").select(
+        "log_id", F.concat_ws("-", "ts_ms", "pull_index").alias("pull_id"), "pull_index", F.col("ts_ms").alias("started_at"),
+        end["ts"].alias("ended_at"), F.col("line_number").alias("start_line"), end["line"].alias("last_line"),
+        (end["count"] - F.col("prior_count")).alias("event_count"), (end["ts"] - F.col("ts_ms")).alias("duration_ms"),
     )
 
 

@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fraylens.operators import abilities, deaths, encounters, enemies, mechanics, metrics, segment
+from fraylens.operators import abilities, deaths, effects, encounters, enemies, mechanics, metrics, segment
 from fraylens.operators.segment import PULL
 from fraylens.operators.staging import staged
 from fraylens.options import Options
@@ -106,6 +106,16 @@ class Fights:
     def boss(self) -> DataFrame:
         return encounters.boss_of_pull(self.facts, self.engaged, self.matches, self.options)
 
+    @cached_property
+    def phase_entries(self) -> DataFrame:
+        """Phase changes of the pulls, a few rows each."""
+        return effects.phase_entries(effects.phase_candidates(self.tagged, self.matches, self.catalog.encounters))
+
+    @cached_property
+    def phased(self) -> DataFrame:
+        """Events with the phase of their pull."""
+        return effects.phase_tagged(self.tagged, self.phase_entries)
+
     @cached_property
     def resets(self) -> DataFrame:
         return encounters.single_instance_resets(self.sightings, self.matches, self.catalog, self.options)

@@ -480,7 +480,62 @@ def _text_phases(f):
 FROM (SELECT *, lag(phase_order) OVER (PARTITION BY log_id, pull_id ORDER BY line_number) AS before FROM ({_PHASES})) WHERE before IS NULL OR phase_order > before""",
 )
 def _phase_entries(f):
-    return effects.phase_entries(effects.text_phases(f.tagged, f.matches, f.catalog.encounters, O), O)
+    return f.phase_entries.drop("next_line")
+
+
+_PHASED = f"(SELECT t.*, h.phase_order AS segment_index FROM t JOIN ({_PHASES}) h USING (log_id, pull_id, line_number))"
+
+
+@on_gaps(
+    "phase_actor_metrics",
+    f"""SELECT a.log_id, a.pull_id, segment_index, actor_id, CAST(sum(d) AS BIGINT) AS damage, CAST(sum(h) AS BIGINT) AS healing, CAST(sum(x) AS BIGINT) AS damage_taken,
+ CAST(sum(n) AS BIGINT) AS actions, CAST(sum(k) AS BIGINT) AS interrupts, CAST(sum(f) AS BIGINT) AS deaths,
+ greatest(0, last(ts_ms ORDER BY line_number, side) - first(ts_ms ORDER BY line_number, side)) AS active_ms,
+ round(sum(d) / (CAST(any_value(greatest(1, coalesce(s.next_ts, p.ended_at) - s.started_at)) AS DOUBLE) / 1000.0), 4) AS dps
+FROM (
+ SELECT log_id, pull_id, segment_index, line_number, ts_ms, 0 AS side, source_id AS actor_id,
+  CASE WHEN type = 'damage' THEN ap ELSE 0 END AS d, CASE WHEN type = 'heal' THEN ap ELSE 0 END AS h, 0 AS x,
+  CASE WHEN type = 'ability' AND phase = 'activate' THEN 1 ELSE 0 END AS n, CASE WHEN type = 'ability' AND phase = 'interrupt' THEN 1 ELSE 0 END AS k, 0 AS f
+ FROM {_PHASED} WHERE source_kind = 'player' AND ((type = 'damage' AND target_kind = 'npc') OR type = 'heal'
+  OR (type = 'ability' AND ability_id IS NOT NULL AND (phase = 'activate' OR (phase = 'interrupt' AND ability_id IN (SELECT ability_id FROM kicks)))))
+ UNION ALL
+ SELECT log_id, pull_id, segment_index, line_number, ts_ms, 1, target_id, 0, 0, CASE WHEN type = 'damage' THEN ap ELSE 0 END, 0, 0, CASE WHEN type = 'death' THEN 1 ELSE 0 END
+ FROM {_PHASED} WHERE target_kind = 'player' AND type IN ('damage', 'death')) a
+JOIN (SELECT log_id, pull_id, phase_order AS segment_index, started_at, lead(started_at) OVER (PARTITION BY log_id, pull_id ORDER BY line_number) AS next_ts FROM (
+  SELECT log_id, pull_id, phase_order, min(line_number) AS line_number, first(ts_ms ORDER BY line_number) AS started_at FROM ({_PHASES}) GROUP BY ALL)) s
+ USING (log_id, pull_id, segment_index)
+JOIN pulls p USING (log_id, pull_id) GROUP BY a.log_id, a.pull_id, segment_index, actor_id""",
+)
+def _phase_actors(f):
+    found = metrics.phase_metrics(f.phased, effects.phase_bounds(f.phase_entries, f.pulls), f.catalog, whole=True)
+    shown = ["damage", "healing", "damage_taken", "actions", "interrupts", "deaths", "active_ms", "dps"]
+    return rounded(found.select(*PULL, "segment_index", "actor_id", *shown), "dps")
+
+
+@on_gaps(
+    "phase_enemy_players",
+    f"""SELECT log_id, pull_id, segment_index, target_id AS instance_id, source_id AS player_id, CAST(sum(ap) AS BIGINT) AS damage, count(*) FILTER (amount > 0) AS damage_hits,
+ count(*) FILTER (critical) AS critical_hits, first(ts_ms ORDER BY line_number) AS first_damage_at, last(ts_ms ORDER BY line_number) AS last_damage_at
+FROM {_PHASED} WHERE type = 'damage' AND source_kind = 'player' AND target_kind = 'npc' GROUP BY ALL""",
+)
+def _phase_enemies(f):
+    by_phase = [*PULL, "segment_index"]
+    found = enemies.enemy_players(enemies.enemy_contributions(f.phased, by_phase), by_phase, whole=True)
+    return found.select(*by_phase, "instance_id", "player_id", "damage", "damage_hits", "critical_hits", "first_damage_at", "last_damage_at")
+
+
+@on_gaps(
+    "phase_abilities",
+    f"""SELECT log_id, pull_id, segment_index, ability_id, source_id AS player_id, count(*) FILTER (type = 'ability') AS casts,
+ count(*) FILTER (type = 'damage' AND amount > 0) AS hits, count(*) FILTER (type = 'damage' AND amount <= 0) AS misses,
+ CAST(sum(CASE WHEN type = 'damage' AND amount > 0 THEN ap ELSE 0 END) AS BIGINT) AS damage,
+ count(DISTINCT CASE WHEN type = 'damage' THEN concat(target_kind, ':', target_id) END) AS targets
+FROM {_PHASED} WHERE ((type = 'ability' AND phase = 'activate') OR type = 'damage') AND ability_id IS NOT NULL AND source_kind = 'player' GROUP BY ALL""",
+)
+def _phase_abilities(f):
+    by = [*PULL, "segment_index", "ability_id", "player_id"]
+    found = abilities.usage(abilities.ability_rows(f.phased, [*PULL, "segment_index"]), by, whole=True)
+    return found.select(*by, "casts", "hits", "misses", "damage", "targets")
 
 
 @register(
