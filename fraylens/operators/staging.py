@@ -21,6 +21,11 @@ def shared_folder(spark: SparkSession) -> str:
     return configured
 
 
+def new_path(spark: SparkSession, kind: str) -> str:
+    """A path in the shared folder that nothing has used before."""
+    return f"{shared_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
 def staged(df: DataFrame) -> DataFrame:
     """The same rows, written once to the shared folder and read back.
 
@@ -28,6 +33,6 @@ def staged(df: DataFrame) -> DataFrame:
     columns like any scan and gives the optimizer its real size.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
+    path = new_path(spark, "staged")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

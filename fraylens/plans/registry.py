@@ -12,6 +12,7 @@ from fraylens.operators import (
     abilities, accounts, deaths, effects, encounters, enemies, mechanics, metrics, quality, rollups, roster, segment,
 )
 from fraylens.operators.segment import CONTEXT, PULL
+from fraylens.operators.staging import new_path
 from fraylens.plans import ansi
 from fraylens.plans.fights import Fights
 from fraylens.sources import catalog as catalogs
@@ -732,6 +733,48 @@ def _storage(f):
     return sinks.storage_buckets(sinks.storage_rows(f.tagged, f.pulls, O))
 
 
+@on_gaps(
+    "unexpired_buckets",
+    """SELECT log_id, pull_id, bucket_index, CAST(count(*) AS BIGINT) AS events FROM bucketed b JOIN pulls p USING (log_id, pull_id)
+WHERE p.started_at + bucket_index * 3600000 + 604800000 > 1706000000000 GROUP BY ALL""",
+)
+def _unexpired(f):
+    kept = sinks.unexpired(sinks.storage_buckets(sinks.storage_rows(f.tagged, f.pulls, O)), F.lit(1_706_000_000_000))
+    return kept.groupBy(*PULL, "bucket_index").agg(F.sum("event_count").alias("events"))
+
+
+@on_gaps(
+    "stored_events",
+    """SELECT 'g' AS guild_id, CAST(log_id AS VARCHAR) AS report_code, pull_id AS fight_id, line_number, type, bucket_index,
+ CAST((row_number() OVER (PARTITION BY log_id, pull_id, bucket_index ORDER BY line_number) - 1) // 4 AS BIGINT) AS part FROM bucketed""",
+)
+def _stored_events(f):
+    rows = sinks.storage_rows(f.tagged, f.pulls, O).select(*PULL, "line_number", "type", "bucket_index", "part")
+    path = new_path(f.events.sparkSession, "events")
+    sinks.write_event_buckets(rows, "g", path)
+    sinks.write_event_buckets(rows.filter("bucket_index % 2 = 0"), "g", path)  # sent again
+    stored = f.events.sparkSession.read.schema("line_number bigint, type string, bucket_index bigint, part bigint, guild_id string, report_code string, fight_id string")
+    return stored.parquet(path)
+
+
+@on_gaps(
+    "stored_fights",
+    """SELECT 'g' AS guild_id, CAST(log_id AS VARCHAR) AS report_code, pull_id AS event_id,
+ CASE WHEN pull_index % 2 = 0 THEN outcome ELSE 'pending' END AS outcome, CAST(CASE WHEN pull_index % 2 = 0 THEN 2 ELSE 1 END AS BIGINT) AS updated_at
+FROM outcomes WHERE encounter_id IS NOT NULL""",
+)
+def _stored_fights(f):
+    path, known = new_path(f.events.sparkSession, "fights"), sinks.fight_documents(f.fights, "g")
+
+    def version(number: int, outcome) -> DataFrame:
+        return known.select("guild_id", "report_code", "event_id", outcome.alias("outcome"), F.lit(number).cast("bigint").alias("updated_at"), "fight_id")
+
+    sinks.upsert_fights(version(1, F.lit("pending")), path)
+    sinks.upsert_fights(version(2, F.col("outcome")).filter("fight_id % 2 = 0"), path)
+    sinks.upsert_fights(version(0, F.lit("late")), path)  # an older version that arrives last changes nothing
+    return f.events.sparkSession.read.schema("event_id string, outcome string, updated_at bigint, guild_id string, report_code string").parquet(path)
+
+
 @on_gaps("bucket_round_trip", "SELECT CAST(NULL AS VARCHAR) AS check, CAST(NULL AS VARCHAR) AS subject, CAST(NULL AS VARCHAR) AS detail WHERE false")
 def _round_trip(f):
     rows = sinks.storage_rows(f.tagged, f.pulls, O)

@@ -6,6 +6,7 @@ are partitioned by tenant and report; every read names its tenant.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +17,9 @@ from fraylens.operators.staging import staged
 from fraylens.options import Options
 from fraylens.sources.catalog import latest_per_key
 
-FIGHT_KEY = ["guild_id", "report_code", "event_id"]
+REPORT = ["guild_id", "report_code"]
+FIGHT_KEY = [*REPORT, "event_id"]
+BUCKET_KEY = [*REPORT, "fight_id", "bucket_index", "part"]
 DAY_MS = 86_400_000
 
 
@@ -81,38 +84,45 @@ def fight_documents(fights: DataFrame, guild_id: str) -> DataFrame:
     )
 
 
-def upsert_fights(spark: SparkSession, new: DataFrame, path: str, version: str = "updated_at") -> None:
-    """Writes fights so that each key keeps its newest version.
-
-    Only the (guild, report) partitions that received rows are rewritten.
-    """
-    previous = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    merged = new
+def _stored_beside(new: DataFrame, path: str) -> DataFrame | None:
+    """What is stored in the reports that ``new`` touches; None before the first write."""
     try:
-        stored = spark.read.schema(new.schema).parquet(path)
-        touched = new.select("guild_id", "report_code").distinct()
-        merged = stored.join(touched, ["guild_id", "report_code"], "left_semi").unionByName(new)
-    except Exception as missing:  # noqa: BLE001 - the first write finds no table yet
-        if "PATH_NOT_FOUND" not in str(missing):
+        stored = new.sparkSession.read.schema(new.schema).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
             raise
-    latest = staged(latest_per_key(merged, FIGHT_KEY, [F.col(version)]))
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        latest.repartition("guild_id", "report_code").write.mode("overwrite").partitionBy("guild_id", "report_code").parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", previous)
+        return None
+    return stored.join(new.select(*REPORT).distinct(), REPORT, "left_semi")
+
+
+def _replace_reports(rows: DataFrame, path: str, spread: list[str], order: list[str]) -> None:
+    """Rewrites the (guild, report) partitions that ``rows`` names and no others."""
+    whole = staged(rows)  # the rewrite must not read the files that it replaces
+    laid = whole.repartition(*REPORT, *spread).sortWithinPartitions(*REPORT, *order)
+    laid.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*REPORT).parquet(path)
+
+
+def upsert_fights(new: DataFrame, path: str, version: str = "updated_at") -> None:
+    """Writes fights so that each key keeps its newest version, however often and in whatever order it is sent."""
+    new = staged(new)
+    stored = _stored_beside(new, path)
+    merged = new if stored is None else stored.unionByName(new)
+    _replace_reports(latest_per_key(merged, FIGHT_KEY, [F.col(version)]), path, [], ["event_id"])
 
 
 def write_event_buckets(rows: DataFrame, guild_id: str, path: str) -> None:
-    """Raw events of fights, laid out by tenant, report and fight for pruned reads."""
-    keyed = rows.withColumns(
-        {"guild_id": F.lit(guild_id), "report_code": F.col("log_id").cast("string"), "fight_id": F.col("pull_id")}
-    )
+    """Raw events of fights; a bucket part that is sent again replaces the one before it.
+
+    Files are laid out by tenant and report and sorted by fight, so that a read of
+    one fight skips the rest by its statistics.
+    """
+    keys = {"guild_id": F.lit(guild_id), "report_code": F.col("log_id").cast("string"), "fight_id": F.col("pull_id")}
+    new = staged(rows.withColumns(keys))
+    stored = _stored_beside(new, path)
+    if stored is not None:
+        new = stored.join(new.select(*BUCKET_KEY).distinct(), BUCKET_KEY, "left_anti").unionByName(new)
     # The bucket salts the shuffle: one huge fight is written by many tasks.
-    spread = keyed.repartition("report_code", "fight_id", "bucket_index")
-    spread.sortWithinPartitions("report_code", "fight_id", "bucket_index", "part", "line_number").write.mode("append").partitionBy(
-        "guild_id", "report_code", "fight_id"
-    ).parquet(path)
+    _replace_reports(new, path, ["fight_id", "bucket_index"], ["fight_id", "bucket_index", "part", "line_number"])
 
 
 def read_fight_events(spark: SparkSession, path: str, guild_id: str, report_code: str, fight_id: str) -> DataFrame:
