@@ -156,25 +156,20 @@ def match_encounters(engaged: DataFrame, pulls: DataFrame, catalog, steps: bool
 
 
 def match_definitions(engaged: DataFrame, encounter_defs: DataFrame, steps: bool = False) -> DataFrame:
-    """Executable definition with most engaged boss ids; the first one touched wins a tie."""
-    bosses = encounter_defs.select(
-        F.col("id").alias("definition_id"), F.monotonically_increasing_id().alias("def_order"), F.explode("boss_npc_ids").alias("npc_id")
-    )
+    """Executable definition with most engaged boss ids; a tie goes to the first one touched, then to the smaller id."""
+    bosses = encounter_defs.select(F.col("id").alias("definition_id"), F.explode("boss_npc_ids").alias("npc_id")).distinct()
     per_npc = engaged.groupBy(*PULL, "npc_id").agg(F.min("first_line").alias("first_line"))
-    facts = per_npc.join(bosses, "npc_id").select(*PULL, "definition_id", "def_order", "npc_id", "first_line")
+    facts = per_npc.join(bosses, "npc_id").select(*PULL, "definition_id", "npc_id", "first_line")
     keys = [*PULL]
     if steps:
         marks = facts.select(*PULL, F.col("first_line").alias("at_line")).distinct()
         facts = facts.join(marks, PULL).filter(F.col("first_line") <= F.col("at_line"))
         keys = [*PULL, "at_line"]
     counts = facts.groupBy(*keys, "definition_id").agg(
-        F.count(F.lit(1)).alias("matched"), F.min(F.struct("first_line", "def_order")).alias("touched")
+        F.count(F.lit(1)).alias("matched"), F.min("first_line").alias("touched")
     )
     return counts.groupBy(*keys).agg(
-        F.max_by(
-            F.struct("definition_id", "matched"),
-            F.struct("matched", -F.col("touched.first_line"), -F.col("touched.def_order")),
-        ).alias("b")
+        F.min_by(F.struct("definition_id", "matched"), F.struct(-F.col("matched"), "touched", "definition_id")).alias("b")
     ).select(*keys, "b.definition_id", F.col("b.matched").alias("matched_ids"))
 
 
@@ -213,8 +208,13 @@ def catalog_roles(enemies: DataFrame, catalog) -> DataFrame:
     )
     adds = catalog.encounters.select(F.explode("adds").alias("__a")).select(combat.normalise(F.col("__a")).alias("__add")).distinct()
     names = enemies.select(combat.normalise(F.col("name")).alias("__name")).distinct()
+    # A name that holds an add's name holds its first three characters: an equality on those, then the full test.
+    name = F.col("__name")
+    starts = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1))), lambda i: F.array(*[name.substr(i, F.lit(n)) for n in (1, 2, 3)])))
+    openings = names.select("__name", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), starts))).alias("__key"))
     add_names = (
-        names.join(adds, F.contains(F.col("__name"), F.col("__add")), "left_semi").withColumn("__add_name", F.lit(True))
+        openings.join(adds.withColumn("__key", F.substring("__add", 1, 3)), "__key").filter(F.contains(name, F.col("__add")))
+        .select("__name").distinct().withColumn("__add_name", F.lit(True))
     )
     joined = (
         enemies.withColumn("__name", combat.normalise(F.col("name")))

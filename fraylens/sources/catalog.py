@@ -125,11 +125,11 @@ class Catalog:
         return sorted((r.asDict() for r in rows), key=lambda r: r["catalog_order"])
 
     def definition_index(self) -> list[dict]:
-        """Executable definitions in catalogue order, size-checked like the encounters."""
+        """Executable definitions by id, size-checked like the encounters."""
         rows = self.encounter_defs.limit(MAX_INDEX_ROWS + 1).collect()
         if len(rows) > MAX_INDEX_ROWS:
             raise ValueError(f"definition catalogue exceeds {MAX_INDEX_ROWS} rows")
-        return [{**json.loads(r["definition_json"]), "id": r["id"], "bossNpcIds": r["boss_npc_ids"]} for r in rows]
+        return [{**json.loads(r["definition_json"]), "id": r["id"], "bossNpcIds": r["boss_npc_ids"]} for r in sorted(rows, key=lambda r: r["id"])]
 
 
 def supports_difficulty(operations: DataFrame, difficulty: str) -> DataFrame:
