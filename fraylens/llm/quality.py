@@ -7,7 +7,7 @@ conditional (``DecisionList.rule``), so scoring is a plain projection.
 
 Defined cases: null or blank text has no words and fails the base rule; repeated
 rows are judged one by one; a doc_id with several labels counts as its lowest
-quality; labels with nulls are left out; without two classes among the labels
+quality, and one with several texts trains by one of them; labels with nulls are left out; without two classes among the labels
 the list is empty and only the base rule decides; an empty table gives no rows.
 """
 
@@ -215,9 +215,9 @@ def learn(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS
     drawn = labelled.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(training_rows)
     texts = docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("id"))
     stats = F.col("stats")
-    rows = (
-        statistics(texts.select("id", "quality", "text"))
-        .select(F.xxhash64("id").alias("draw"), "quality", *[feature(stats, n).alias(n) for n in FEATURES])
+    counted = statistics(texts.select("id", "quality", "text")).select("id", F.struct("quality", *[feature(stats, n).alias(n) for n in FEATURES]).alias("one"))
+    rows = (  # one text an id, or an id that many rows share would outgrow the bound
+        counted.groupBy("id").agg(F.min("one").alias("one")).select(F.xxhash64("id").alias("draw"), "one.*")
         .toPandas().sort_values(["draw", *FEATURES], kind="stable")
     )
     names = list(FEATURES)

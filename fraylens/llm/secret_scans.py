@@ -33,15 +33,16 @@ class Rule:
     base: bool = False
 
 
+# No pattern may look at a long run of letters again from each of its places: texts can be very long.
 # Kinds, patterns and least lengths, in the order of their kinds.
 _ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 RULES = [
     Rule("assign", _ASSIGN, 2, 8, r"(?i)(?:passw|secret|token|api_?key)", base=True),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 16, r"AKIA[A-Z0-9]{12}", base=True),
     Rule("hex", r"[0-9a-f]+", 0, 32, r"[0-9a-f]{32}", base=True),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 32, r"eyJ[A-Za-z0-9_-]"),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 32, r"eyJ[A-Za-z0-9_-]"),
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, r"-----BEGIN "),
-    Rule("url_login", r"[a-z][a-z0-9+.-]*://[^\x20\x09-\x0D/@:]+:[^\x20\x09-\x0D/@]+@", 0, 1, r"://[^\x20\x09-\x0D/@]+@"),
+    Rule("url_login", r"[a-z][a-z0-9+.-]{0,30}://[^\x20\x09-\x0D/@:]+:[^\x20\x09-\x0D/@]+@", 0, 1, r"://[^\x20\x09-\x0D/@]+@"),
     Rule("hub_token", r"gh[pousr]_[A-Za-z0-9]+", 0, 40, r"gh[pousr]_[A-Za-z0-9]{36}"),
 ]
 RULE_VERSION = 1

@@ -240,6 +240,14 @@ def test_secret_spans_and_ledger(docs, rows, none):
     assert secret_scans.scan(none)[0].count() == 0
 
 
+def test_secret_scan_of_very_long_runs(spark):
+    run, login = "abcdef0123" * 60_000, " https://u:p@h eyJ" + "eyJ" * 200_000
+    df = spark.createDataFrame([(1, "g" * 600_000 + login), (2, run + login)], "doc_id long, text string")
+    got = {r["path"]: [(s["kind"], s["start"], s["stop"]) for s in r["found"]] for r in secret_scans.scan(df)[0].collect()}
+    at = ("url_login", 600_001, 600_013)
+    assert got == {1: [at], 2: [("hex", 0, 600_000), at]}
+
+
 def test_top_k_against_brute_force(spark):
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in rng.normal(size=8) * (rng.random(8) > 0.4)]) for i in range(300)]
@@ -305,16 +313,13 @@ def test_packing_program_fills_sequences():
     assert out.sequences() <= 1.01 * sum(k * v for k, v in histogram.items()) / 2048
 
 
-def test_mixing_budgets_and_prefixes(docs, rows, none):
-    mix = mixing.Mix(domains={"d0": 3}, languages={"en": 2}, share=0.7, epochs=2)
-    got = mixing.mixed(docs, mix)
-    assert set(got.select("row.*").columns) == set(docs.columns)
+def plain_mixed(rows, mix):
+    """(row, leaf, epoch) for every use of a row."""
     leaf = lambda r: (
         "d-" if not re.search(r"[0-9]$", r[3] or "") else f"d{int(re.search('([0-9]+)$', r[3])[1]) % 4}", r[2] or "", r[3] or "")
-    size = lambda r: len(WORD.findall(r[1] or ""))
     available = Counter()
     for r in rows:
-        available[leaf(r)] += size(r)
+        available[leaf(r)] += n_tokens(r)
     available = +available
 
     def share(budget, children):  # plain water filling, one child at a time
@@ -335,14 +340,25 @@ def test_mixing_budgets_and_prefixes(docs, rows, none):
     for d, b in share(total, {d: (below((d,)), mix.domains.get(d, 1)) for d in {k[0] for k in available}}).items():
         for g, bb in share(b, {g: (below((d, g)), mix.languages.get(g, 1)) for g in {k[1] for k in available if k[0] == d}}).items():
             plan |= {(d, g, s): x for s, x in share(bb, {k[2]: (available[k] * mix.epochs, 1) for k in available if k[:2] == (d, g)}).items()}
-    expected = Counter()
+    out = []
     for k, budget in plan.items():
         whole, rest = divmod(budget, available[k])
-        own = sorted((r for r in rows if leaf(r) == k), key=lambda r: (hashlib.md5(f"{mix.seed}:{whole}:{'' if r[0] is None else r[0]}".encode()).hexdigest(), size(r)))
+        own = sorted((r for r in rows if leaf(r) == k), key=lambda r: (hashlib.md5(f"{mix.seed}:{whole}:{'' if r[0] is None else r[0]}".encode()).hexdigest(), n_tokens(r)))
         at = 0
         for r in own:
-            for e in range(whole + (at < rest)):
-                expected[r[0], *k, e, size(r)] += 1
-            at += size(r)
+            out += [(r, k, e) for e in range(whole + (at < rest))]
+            at += n_tokens(r)
+    return out
+
+
+def n_tokens(row):
+    return len(WORD.findall(row[1] or ""))
+
+
+def test_mixing_budgets_and_prefixes(docs, rows, none):
+    mix = mixing.Mix(domains={"d0": 3}, languages={"en": 2}, share=0.7, epochs=2)
+    got = mixing.mixed(docs, mix)
+    assert set(got.select("row.*").columns) == set(docs.columns)
+    expected = Counter((r[0], *k, e, n_tokens(r)) for r, k, e in plain_mixed(rows, mix))
     assert as_set(got.select("row.doc_id", "mix_.*").collect()) == expected
     assert mixing.mixed(none, mix).count() == 0
