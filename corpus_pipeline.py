@@ -7,7 +7,7 @@ writing Parquet that the next one reads. All but the last return the columns of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -28,25 +28,29 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.judged(docs, rules, "quality_").where("quality_.kept").select(*docs.columns)
 
 
+def _id() -> Column:
+    return F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id")
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id."""
-    stands = simhash.components(docs).where("stands").select(F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_")).distinct()
-    rows = docs.select("*", F.xxhash64("text").alias("text_hash_"))
-    same = F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_hash_") == F.col("hash_"))
-    kept = rows.join(stands, same, "left_semi")
-    equal = Window.partitionBy("doc_id", "text_hash_").orderBy("doc_id")  # rows equal in both are repeated rows
-    return kept.withColumn("nth_", F.row_number().over(equal)).where("nth_ = 1").select(*docs.columns)
+    stands = simhash.components(docs).where("stands").select(_id(), "text_hash").distinct()
+    rows = docs.select(F.struct("*").alias("row"), _id(), F.xxhash64("text").alias("text_hash"))
+    equal = Window.partitionBy("id", "text_hash").orderBy("row.lang", "row.source", "row.n_chars")  # the join's own partitioning
+    kept = rows.join(stands, ["id", "text_hash"], "left_semi").withColumn("nth", F.row_number().over(equal))
+    return kept.where("nth = 1").select("row.*")
 
 
 def secrets_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The same documents with every secret replaced; n_chars follows."""
     found, _ = secret_scans.scan(docs)
-    hits = found.where(F.size("found") > 0).select(F.col("blob").alias("blob_"), F.col("found").alias("found_")).dropDuplicates(["blob_"])
-    rows = docs.select("*", secret_scans.sha256_hex(F.col("text")).alias("own_blob_"), F.coalesce("doc_id", F.lit(-1)).alias("salt_"))
-    out = rows.join(hits, F.col("own_blob_") == F.col("blob_"), "left")
-    text = F.when(F.col("found_").isNotNull(), secret_scans.redacted(F.col("text"), F.col("found_"))).otherwise(F.col("text"))
-    changed = {"text": text, "n_chars": F.when(F.col("found_").isNotNull(), F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)}
-    return out.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
+    hits = found.where(F.size("found") > 0).select(F.col("path").alias("doc_id"), "blob", "found").select(_id(), "blob", "found").dropDuplicates(["id", "blob"])
+    rows = docs.select(F.struct("*").alias("row"), _id(), secret_scans.sha256_hex(F.col("text")).alias("blob"))
+    out = rows.join(hits, ["id", "blob"], "left")  # by id too: the copies of one text stay spread
+    hit = F.col("found").isNotNull()
+    text = F.when(hit, secret_scans.redacted(F.col("row.text"), F.col("found"))).otherwise(F.col("row.text"))
+    changed = {"text": text, "n_chars": F.when(hit, F.length(text)).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)}
+    return out.select(*[changed[c].alias(c) if c in changed else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
