@@ -86,18 +86,18 @@ def progression(fights: DataFrame, keys: list[str] = ["encounter_id"]) -> DataFr
     )
 
 
-def encounter_matrix(fights: DataFrame, encounters: DataFrame) -> DataFrame:
-    """Kills and wipes per encounter."""
+def encounter_matrix(fights: DataFrame, encounters: DataFrame, scope: list[str] = []) -> DataFrame:
+    """Kills and wipes per encounter; ``scope`` names the columns of a tenant, whose fights count apart."""
     names = encounters.select(F.col("id").alias("encounter_id"), F.col("name").alias("encounter_name"))
-    counts = fights.filter(F.col("encounter_id").isNotNull()).groupBy("encounter_id").agg(
+    counts = fights.filter(F.col("encounter_id").isNotNull()).groupBy(*scope, "encounter_id").agg(
         F.count_if(F.col("outcome") == "kill").alias("kills"), F.count_if(F.col("outcome") == "wipe").alias("wipes")
     )
-    return counts.join(names, "encounter_id").orderBy(F.desc("kills"), "encounter_name")
+    return counts.join(names, "encounter_id").orderBy(*scope, F.desc("kills"), "encounter_name")
 
 
-def encounter_history(fights: DataFrame) -> DataFrame:
-    """Clears, wipes, rounded average length and deaths per encounter."""
-    return fights.filter(F.col("encounter_id").isNotNull()).groupBy("encounter_id").agg(
+def encounter_history(fights: DataFrame, scope: list[str] = []) -> DataFrame:
+    """Clears, wipes, rounded average length and deaths per encounter, and tenant if ``scope`` names one."""
+    return fights.filter(F.col("encounter_id").isNotNull()).groupBy(*scope, "encounter_id").agg(
         F.count(F.lit(1)).alias("fights"),
         F.count_if(F.col("outcome") == "kill").alias("clears"),
         F.count_if(F.col("outcome") == "wipe").alias("wipes"),

@@ -583,31 +583,39 @@ def _operation_fights(f):
     return rollups.ordered_operation_fights(rollups.operation_fights(f.outcomes, f.catalog))
 
 
+_GUILD = "CAST(log_id % 3 AS VARCHAR) AS guild_id"
+
+
+def of_guilds(fights: DataFrame) -> DataFrame:
+    """Fights with the tenant they belong to: logs are dealt among three guilds."""
+    return fights.withColumn("guild_id", (F.col("log_id") % 3).cast("string"))
+
+
 @on_gaps(
     "progression",
-    """SELECT encounter_id, count(*) AS attempts, count(*) FILTER (outcome = 'kill') AS kills, min(started_at) FILTER (outcome = 'kill') AS first_kill_at,
+    f"""SELECT {_GUILD}, encounter_id, count(*) AS attempts, count(*) FILTER (outcome = 'kill') AS kills, min(started_at) FILTER (outcome = 'kill') AS first_kill_at,
  round(min(remaining) FILTER (outcome <> 'kill'), 4) AS best_wipe_percent FROM fights WHERE encounter_id IS NOT NULL GROUP BY ALL""",
 )
 def _progression(f):
-    return rounded(rollups.progression(f.fights), "best_wipe_percent")
+    return rounded(rollups.progression(of_guilds(f.fights), ["guild_id", "encounter_id"]), "best_wipe_percent")
 
 
 @on_gaps(
     "encounter_matrix",
-    """SELECT encounter_id, encounter_name, count(*) FILTER (outcome = 'kill') AS kills, count(*) FILTER (outcome = 'wipe') AS wipes FROM fights JOIN enc USING (encounter_id) GROUP BY ALL""",
+    f"""SELECT {_GUILD}, encounter_id, encounter_name, count(*) FILTER (outcome = 'kill') AS kills, count(*) FILTER (outcome = 'wipe') AS wipes FROM fights JOIN enc USING (encounter_id) GROUP BY ALL""",
 )
 def _matrix(f):
-    return rollups.encounter_matrix(f.fights, f.catalog.encounters)
+    return rollups.encounter_matrix(of_guilds(f.fights), f.catalog.encounters, ["guild_id"])
 
 
 @on_gaps(
     "encounter_history",
-    """SELECT encounter_id, count(*) AS fights, count(*) FILTER (outcome = 'kill') AS clears, count(*) FILTER (outcome = 'wipe') AS wipes,
+    f"""SELECT {_GUILD}, encounter_id, count(*) AS fights, count(*) FILTER (outcome = 'kill') AS clears, count(*) FILTER (outcome = 'wipe') AS wipes,
  CAST(floor(avg(duration_ms) + 0.5) AS BIGINT) AS average_duration_ms, CAST(sum(player_deaths) AS BIGINT) AS total_deaths, min(started_at) AS first_at, max(started_at) AS last_at
 FROM fights WHERE encounter_id IS NOT NULL GROUP BY ALL""",
 )
 def _history(f):
-    return rollups.encounter_history(f.fights)
+    return rollups.encounter_history(of_guilds(f.fights), ["guild_id"])
 
 
 _REPORT = """SELECT log_id, count(*) AS fight_count, count(encounter_id) AS boss_fights, count(*) FILTER (outcome = 'kill') AS kill_count, count(*) FILTER (outcome = 'wipe') AS wipe_count,
@@ -643,27 +651,27 @@ def _counters(f):
     return rollups.session_counters(f.events, f.fights, f.player_deaths)
 
 
-_MARKED = """SELECT *, row_number() OVER w AS attempts, CAST(sum(CASE WHEN outcome = 'kill' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS kills,
-  min(CASE WHEN outcome <> 'kill' THEN remaining END) OVER (PARTITION BY encounter_id ORDER BY started_at, log_id, pull_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best
+_MARKED = f"""SELECT *, {_GUILD}, row_number() OVER w AS attempts, CAST(sum(CASE WHEN outcome = 'kill' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS kills,
+  min(CASE WHEN outcome <> 'kill' THEN remaining END) OVER (PARTITION BY log_id % 3, encounter_id ORDER BY started_at, log_id, pull_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best
  FROM fights WHERE encounter_id IS NOT NULL AND outcome <> 'incomplete' AND boss_instance_id IS NOT NULL
- WINDOW w AS (PARTITION BY encounter_id ORDER BY started_at, log_id, pull_index)"""
+ WINDOW w AS (PARTITION BY log_id % 3, encounter_id ORDER BY started_at, log_id, pull_index)"""
 
 
 @on_gaps(
     "announcements",
-    f"""SELECT * FROM (SELECT log_id, pull_id, encounter_id, attempts, kills, round(best, 4) AS previous_best,
+    f"""SELECT * FROM (SELECT log_id, pull_id, guild_id, encounter_id, attempts, kills, round(best, 4) AS previous_best,
  CASE WHEN outcome = 'kill' THEN CASE WHEN kills = 1 THEN 'firstKill' ELSE 'kill' END
   WHEN remaining IS NOT NULL AND (best IS NULL OR remaining < best) AND remaining <= 15 THEN 'closeWipe' END AS kind FROM ({_MARKED})) WHERE kind IS NOT NULL""",
 )
 def _announcements(f):
-    rows = rollups.announcements(f.fights, O)
-    return rounded(rows, "previous_best").select(*PULL, "encounter_id", "attempts", "kills", "previous_best", "kind")
+    rows = rollups.announcements(of_guilds(f.fights), O, scope=["guild_id"])
+    return rounded(rows, "previous_best").select(*PULL, "guild_id", "encounter_id", "attempts", "kills", "previous_best", "kind")
 
 
 @on_gaps("announcement_texts")
 def _announcement_texts(f):
     enc = f.catalog.list_encounters().select(F.col("id").alias("encounter_id"), F.col("name").alias("encounter_name"), "operation_name")
-    announced = rollups.announcements(f.fights, O).join(enc, "encounter_id")
+    announced = rollups.announcements(of_guilds(f.fights), O, scope=["guild_id"]).join(enc, "encounter_id")
     roles = rollups.composition(f.actors)
     return rollups.announcement_text(announced, roles, rollups.top_damage(f.actors), "https://reports.example")
 
@@ -947,11 +955,11 @@ def _titles(spark, sf_dir):
 @register(
     "default_characters",
     """SELECT a.operation_id, a.user_id, coalesce(a.character_name, f.name) AS character_name FROM answers a LEFT JOIN (
- SELECT user_id, arg_min(name, n) AS name FROM (SELECT c_custkey % 40 AS user_id, c_name AS name, c_custkey AS n FROM customer WHERE c_custkey % 2 = 0) GROUP BY ALL) f USING (user_id)""",
+ SELECT user_id, arg_min(name, n) AS name FROM (SELECT c_custkey % 20 * 2 AS user_id, c_name AS name, c_custkey AS n FROM customer) GROUP BY ALL) f USING (user_id)""",
 )
 def _default_characters(spark, sf_dir):
-    linked = read_table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").selectExpr(
-        "c_custkey % 40 AS user_id", "c_name AS name", "c_custkey AS linked_order"
+    linked = read_table(spark, sf_dir, "customer").selectExpr(  # every customer; users of odd number have no character
+        "c_custkey % 20 * 2 AS user_id", "c_name AS name", "c_custkey AS linked_order"
     )
     return roster.default_character(_latest(spark, sf_dir), linked).select("operation_id", "user_id", "character_name")
 
