@@ -1,11 +1,12 @@
 """License scans by canonical digests, in DataFrame functions only.
 
-A text is put into canonical form (ASCII case, punctuation, copyright lines,
+A text is put into canonical form (ASCII case, punctuation, copyright statements,
 equivalent spellings, white space), digested, and joined by digest to a table of
 known licences. The whole document is one such text; every line of it that names
 a licence is another, for notices that stand inside other text.
 
-Defined cases: a null text is empty and matches nothing; several known licences
+Defined cases: a copyright statement ends with its line, so the wrapped rest of
+one stays in the text; a null text is empty and matches nothing; several known licences
 of one digest are all reported; repeated rows are judged one by one; a null id
 stays a row of its own.
 """
@@ -17,7 +18,14 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # What counts as punctuation, a copyright line and the same word.
-COPYRIGHT = r"(^|\n)[^\na-z0-9]*(copyright|\(c\)|all rights reserved)[^\n]*"
+# A statement is a line that begins with copyright and a sign, a year or a year's placeholder, or with a sign and a year; a sentence of
+# the licence that is wrapped before its word copyright is none. "All rights reserved" is one wherever it stands or is wrapped.
+_YEAR = r"[0-9]{4}|[<\[{]+ ?(year|yyyy)"
+_RESERVED = r"[^a-z0-9]+rights[^a-z0-9]+reserved"
+COPYRIGHT = (
+    rf"(^|\n)[^\na-z0-9]*(copyright[ \t:]*(\(c\)|©|{_YEAR})|\(c\)[ \t]*(copyright[ \t:]*)?({_YEAR})|©)"
+    rf"([^\n]*[^\na-z0-9]all{_RESERVED})?[^\n]*|(^|[^a-z0-9])all{_RESERVED}"
+)
 PUNCTUATION = "[\\x00-\\x20!-/:-@\\[-`{-~]+"
 SPELLINGS = [
     ("licence", "license"), ("sub license", "sublicense"), ("acknowledgement", "acknowledgment"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -274,6 +275,19 @@ def test_licenses(spark, none):
     assert licenses.scan(none, known).count() == 0
 
 
+def test_license_layout(spark):
+    body = dict(licenses.KNOWN)["ISC"].split("\n")
+    clause = "(c) You must retain all copyright notices; copyright 1996 treaties are not affected by the copyright license or the copyright owner."
+    known = spark.createDataFrame([("ISC", "\n".join(body)), ("T", clause)], "license_id string, text string")
+    heads = ["Copyright (c) 2020, A. All rights reserved.\n", "# (C) 1999 A\n# Copyright \u00a9 B\n", "\u00a9 A\n", "Copyright [yyyy] [name]\nAll rights\nreserved\n", "Copyright: 2001-2004 A, all rights\nreserved.\n", ""]
+    layouts = [(head, [textwrap.fill(p, w) for p in body]) for w in range(20, 130) for head in heads]
+    rows = [(i, f"ISC License\n\n{head}\n" + "\n\n".join(paragraphs)) for i, (head, paragraphs) in enumerate(layouts)]
+    rows += [(-w, textwrap.fill(clause.replace("copyright 1996", "copyright; 1996"), w)) for w in range(20, 160)]
+    titled = known.unionByName(known.where("license_id = 'ISC'").withColumn("text", F.concat(F.lit("ISC License\n"), "text")))
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), titled).groupBy("license_ids").count().collect()
+    assert as_set(got) == Counter([("ISC", len(layouts)), ("T", 140)])
+
+
 def test_packing(docs, rows, none):
     from tokenizers import Tokenizer
 
