@@ -13,9 +13,13 @@ stays a row of its own.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fraylens.llm.license_texts import TEXTS
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # What counts as punctuation, a copyright line and the same word.
 # A statement is a line that begins with copyright and a sign, a year or a year's placeholder, or with a sign and a year; a sentence of
@@ -33,7 +37,7 @@ SPELLINGS = [
     ("per cent", "percent"), ("copyright owner", "copyright holder"),
 ]
 
-#: Known notices and short licences; a caller may give any table of (license_id, text).
+#: Known notices, the ISC text on two lines and, added below, whole texts; a caller may give any table of (license_id, text).
 KNOWN = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\");"),
@@ -57,10 +61,43 @@ KNOWN = [
         "TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
     )),
 ]
+#: Headings under which the short texts are handed round, besides none.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"],
+    "MIT-0": ["MIT No Attribution", "MIT No Attribution License"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "Simplified BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "New BSD License", "BSD License"],
+    "Zlib": ["zlib License", "The zlib License", "The zlib/libpng License"],
+    "Unlicense": ["The Unlicense"],
+}
+_TERMS_END = "END OF TERMS AND CONDITIONS"
 #: A line is looked up as a notice of its own if it holds this, in either spelling of the word.
 LINE_STEM = "licen"
 
 
+def whole_texts() -> list[tuple[str, str]]:
+    """(license_id, text) of every whole text, in the editions that differ beyond layout."""
+    out: dict[tuple[str, str], None] = {}
+    for key, text in TEXTS.items():
+        name = key.split(" ")[0]
+        editions = [text]
+        if name.startswith("BSD-"):
+            editions.append(re.sub(r"(?m)^[0-9]\. ", "* ", text))
+        if _TERMS_END in text:  # without the appendix on how to apply it
+            editions.append(text[: text.index(_TERMS_END) + len(_TERMS_END)])
+        editions += [re.sub("https?://", f"{scheme}://", x) for x in editions if "://" in x for scheme in ("http", "https")]
+        editions += [f"{title}\n\n{x}" for x in editions for title in TITLES.get(name, [])]
+        # The GNU texts do not say whether later versions are allowed too; only a notice does.
+        ids = [f"{name}-only", f"{name}-or-later"] if name.startswith(("GPL-", "LGPL-", "GFDL-")) else [name]
+        out |= dict.fromkeys((i, x) for x in editions for i in ids)
+    return list(out)
+
+
+KNOWN += whole_texts()
+
+
 def canonical(text: Column) -> Column:
     out = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
     out = F.regexp_replace(out, COPYRIGHT, "\n")

@@ -15,6 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from fraylens.llm import chat, licenses, mixing, packing, phrases, quality, secret_scans, simhash, suffixes, topk
+from fraylens.llm.license_texts import TEXTS
 from fraylens.llm.queries import tokenizer_path
 from tests.llm.corpus import DOCUMENTS, documents
 
@@ -276,7 +277,7 @@ def test_licenses(spark, none):
 
 
 def test_license_layout(spark):
-    body = dict(licenses.KNOWN)["ISC"].split("\n")
+    body = next(text for name, text in licenses.KNOWN if name == "ISC").split("\n")
     clause = "(c) You must retain all copyright notices; copyright 1996 treaties are not affected by the copyright license or the copyright owner."
     known = spark.createDataFrame([("ISC", "\n".join(body)), ("T", clause)], "license_id string, text string")
     heads = ["Copyright (c) 2020, A. All rights reserved.\n", "# (C) 1999 A\n# Copyright \u00a9 B\n", "\u00a9 A\n", "Copyright [yyyy] [name]\nAll rights\nreserved\n", "Copyright: 2001-2004 A, all rights\nreserved.\n", ""]
@@ -288,6 +289,27 @@ def test_license_layout(spark):
     assert as_set(got) == Counter([("ISC", len(layouts)), ("T", 140)])
 
 
+def test_whole_licenses_of_the_table(spark):
+    heads = {"MIT": "MIT License\n\nCopyright (c) 2020 A", "BSD-2-Clause": "Copyright 2020 A. All rights reserved.", "BSD-3-Clause": "BSD 3-Clause License\n\nCopyright (c) 2020, A\nAll rights reserved."}
+    rows, expected = [], {}
+    for name, text in TEXTS.items():
+        paragraphs = re.split(r"\n[ \t]*\n", text)
+        gnu = name.startswith(("GPL", "LGPL", "GFDL"))
+        for width in (None, 60, 72, 100):
+            if width and gnu:
+                continue  # their statement and the sentence after it share a paragraph
+            body = text if width is None else "\n\n".join(textwrap.fill(p, width) for p in paragraphs)
+            expected[len(rows)] = f"{name}-only,{name}-or-later" if gnu else name.split(" ")[0]
+            rows.append((len(rows), f"{heads.get(name, '')}\n\n{body}"))
+    bullets = TEXTS["BSD-3-Clause"].replace("1. ", " * ").replace("2. ", " * ").replace("3. ", " * ")
+    apache = TEXTS["Apache-2.0"].split("   APPENDIX")[0].replace("http:", "https:")
+    for name, text in [("BSD-3-Clause", bullets), ("Apache-2.0", apache), ("", TEXTS["MIT"].replace("sell", "lend"))]:
+        expected[len(rows)] = name
+        rows.append((len(rows), text))
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), licenses.known_licenses(spark))
+    assert {r["doc_id"]: r["license_ids"] for r in got.collect()} == expected
+
+
 def test_packing(docs, rows, none):
     from tokenizers import Tokenizer
 
