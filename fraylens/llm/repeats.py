@@ -148,17 +148,27 @@ def _texts(sizes: list[int], data: bytes) -> list[bytes]:
     return [plain[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
+def _packed_counts(times: np.ndarray) -> bytes:
+    """A byte a count; counts from 255 follow in full, in their order."""
+    return np.minimum(times, 255).astype(np.uint8).tobytes() + times[times >= 255].astype(np.uint32).tobytes()
+
+
+def _counts(data: bytes, n: int) -> np.ndarray:
+    out = np.frombuffer(data[:n], np.uint8).astype(np.int64)
+    out[out == 255] = np.frombuffer(data[n:], np.uint32)
+    return out
+
+
 def _sent_anchors(scheme: Scheme, buckets: int):
     def run(batches):
         for batch in batches:
             for r in batch.to_pylist():
                 value = anchors(scheme.units(_texts(r["sizes"], r["data"])), scheme.width, scheme.gram)[0]
                 value, times = np.unique(value, return_counts=True)
-                times = np.minimum(times, 255).astype(np.uint8)
                 bucket = (value >> np.uint64(33)) % np.uint64(buckets)
                 order = np.argsort(bucket, kind="stable")
                 cuts = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-                rows = [(b, r["block"], value[order[i:j]].tobytes(), times[order[i:j]].tobytes()) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if i < j]
+                rows = [(b, r["block"], value[order[i:j]].tobytes(), _packed_counts(times[order[i:j]])) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if i < j]
                 if rows:
                     kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "block", "anchors", "times"])
@@ -173,7 +183,7 @@ def _recurring(hot: int):
         value = np.concatenate(each)
         order = np.argsort(value, kind="stable")
         starts = np.flatnonzero(np.append(True, np.diff(value[order]) != 0))
-        times = np.concatenate([np.frombuffer(x, np.uint8) for x in part["times"]]).astype(np.int64)
+        times = np.concatenate([_counts(x, len(own)) for x, own in zip(part["times"], each, strict=True)])
         total = np.add.reduceat(times[order], starts)
         of = np.empty(len(value), np.int64)
         of[order] = np.repeat(total, np.diff(np.append(starts, len(value))))

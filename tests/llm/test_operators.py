@@ -10,11 +10,14 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
-from fraylens.llm import chat, licenses, mixing, packing, phrases, quality, secret_scans, simhash, suffixes, topk
+from fraylens.llm import chat, licenses, mixing, packing, phrases, quality, repeats, secret_scans, simhash, suffixes, topk
 from fraylens.llm.license_texts import TEXTS
 from fraylens.llm.queries import tokenizer_path
 from tests.llm.corpus import DOCUMENTS, documents
@@ -176,6 +179,19 @@ def test_suffix_dedup(docs, rows, none, hot):
     assert suffixes.deduplicated(none).count() == 0
 
 
+@pytest.mark.parametrize("scheme", [phrases.SCHEME, suffixes.SCHEME])
+def test_hot_anchors_are_told_by_true_totals(scheme):
+    rng = np.random.default_rng(4)
+    line = "the same cell of every table row , long enough for an anchor of its own in both of the schemes and for more than one hundred bytes of text"
+    text = " ".join(f"{line} {rng.integers(1 << 40)}" for _ in range(400)).encode()
+    sent = pa.RecordBatch.from_pylist([{"block": b, "ids": [b], "sizes": [len(text)], "data": zstandard.compress(text)} for b in range(2)])
+    part = pd.concat([b.to_pandas() for b in repeats._sent_anchors(scheme, 1)(iter([sent]))])
+    for hot, expected in [(799, True), (800, False)]:  # two blocks of 400
+        found = repeats._recurring(hot)(part)
+        assert [len(x) > 0 for x in found["hot"]] == [expected] * 2
+        assert all(len(x) for x in found["common"]) or expected
+
+
 def test_bucket_refinement_tells_windows_apart():
     rng = np.random.default_rng(3)
     data = bytes(rng.integers(97, 99, 4000).astype(np.uint8))
