@@ -3,8 +3,9 @@
 ``repeats`` finds the passages of all documents that may recur and deals them
 into shards. A shard confirms which passages do recur, whole or in windows of 20
 words, compiles these phrases into Aho-Corasick automata (one character a word)
-and streams the passages of all documents through them; every match is an
-occurrence, and the earliest one of a phrase stays.
+and streams its own passages through them, batch by batch. The anchors find the
+occurrences; the automata only tell which windows of the passages are equal. No
+whole document is streamed. The earliest occurrence of a phrase stays.
 
 A null text has no words; the other cases are those of ``repeats``.
 """
