@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 #: Fixed values of the template.
 BEGIN, ROLE_END, END = "<s>[", "]", "</s>"
+#: Examples of a conversation that are formatted together.
+PART = 64
 _ESCAPES = [("\\", "\\b"), ("<", "\\l"), ("[", "\\i"), ("]", "\\r")]
 
 
@@ -40,6 +42,23 @@ def _head(role: Column) -> Column:
     return F.concat(F.lit(BEGIN), escaped(role), F.lit(ROLE_END))
 
 
+def _parts(pieces: DataFrame) -> DataFrame:
+    """The rows of ``pieces`` in parts of ``PART`` examples each, with the turns up to the last of them, ``begin`` and ``n`` turns in all.
+
+    First parts stay where they lie; the further parts of long conversations are dealt over all tasks.
+    """
+    left = pieces.withColumn("n", F.size("pieces"))
+    here = F.col("part") * PART
+    own = F.slice("ends", here + 1, F.lit(PART))
+    cut = lambda rows: rows.withColumn("ends", own).select(
+        "conv_id", F.slice("roles", F.lit(1), F.element_at("ends", -1)).alias("roles"), F.slice("pieces", F.lit(1), F.element_at("ends", -1)).alias("pieces"),
+        "ends", here.alias("begin"), "n", "part",
+    )
+    further = left.where(F.size("ends") > PART).withColumn("part", F.explode(F.sequence(F.lit(1), F.floor((F.size("ends") - 1) / PART).cast("int"))))
+    tasks = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(left.withColumn("part", F.lit(0))).unionByName(cut(further).repartition(tasks, "conv_id", "part"))
+
+
 def examples(conversations: DataFrame, target: str = "assistant") -> DataFrame:
     """conv_id, example (from 1), formatted, loss_start and loss_end (code points, 0-based, end exclusive), last.
 
@@ -56,13 +75,13 @@ def examples(conversations: DataFrame, target: str = "assistant") -> DataFrame:
         F.transform("turns", lambda t: F.concat(_head(t["role"]), escaped(t["text"]), F.lit(END))).alias("pieces"),
     )
     ends = F.filter(F.sequence(F.lit(1), F.size("roles")), lambda i: (F.element_at("roles", i) == target) | (i == F.size("roles")))
-    cut = pieces.select("conv_id", "roles", "pieces", F.posexplode(ends).alias("place", "turn_no"))
+    cut = _parts(pieces.withColumn("ends", ends)).select("conv_id", "roles", "pieces", "begin", "n", F.posexplode("ends").alias("place", "turn_no"))
     reply = F.element_at("pieces", F.col("turn_no"))
     role = F.element_at("roles", F.col("turn_no"))
     formatted = F.array_join(F.slice("pieces", F.lit(1), F.col("turn_no")), "")
     written = cut.select(
-        "conv_id", (F.col("place") + 1).alias("example"), formatted.alias("formatted"), role.alias("role"), F.length(reply).alias("reply_chars"),
-        (F.col("turn_no") == F.size("pieces")).alias("last"),
+        "conv_id", (F.col("begin") + F.col("place") + 1).alias("example"), formatted.alias("formatted"), role.alias("role"), F.length(reply).alias("reply_chars"),
+        (F.col("turn_no") == F.col("n")).alias("last"),
     )
     stop = F.length("formatted") - len(END)
     start = F.length("formatted") - F.col("reply_chars") + F.length(_head(F.col("role")))

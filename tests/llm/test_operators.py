@@ -229,6 +229,26 @@ def test_chat_round_trip(spark):
     assert chat.read_back(chat.examples(df.limit(0))).count() == 0
 
 
+def test_chat_spreads_a_long_conversation(spark):
+    rows = [(1, i, ["user", "assistant"][i % 2], f"t{i}") for i in range(1001)] + [(c, 0, "assistant", "x") for c in range(2, 40)]
+    rows += [(50, i, "assistant", f"a{i}") for i in range(chat.PART)] + [(51, i, "assistant", f"a{i}") for i in range(chat.PART + 1)]
+    shown = chat.examples(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert shown.where("conv_id = 1").select(F.spark_partition_id()).distinct().count() > 3
+    got = {(r["conv_id"], r["example"]): r for r in shown.collect()}
+    groups = defaultdict(list)
+    for c, _, r, x in rows:
+        groups[c].append((r, x))
+    expected = set()
+    for c, turns in groups.items():
+        ends = [i for i in range(1, len(turns) + 1) if turns[i - 1][0] == "assistant" or i == len(turns)]
+        for k, i in enumerate(ends, 1):
+            r = got[c, k]
+            expected.add((c, k))
+            assert r["formatted"] == "".join(f"<s>[{role}]{text}</s>" for role, text in turns[:i]) and r["last"] == (i == len(turns))
+            assert r["formatted"][r["loss_start"] : r["loss_end"]] == (turns[i - 1][1] if turns[i - 1][0] == "assistant" else "")
+    assert got.keys() == expected and shown.count() == len(expected)
+
+
 def plain_secrets(text):
     text = text or ""
     out = []
