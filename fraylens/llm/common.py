@@ -53,5 +53,7 @@ def with_columns_in_arrow(df: DataFrame, source: Column, added: T.StructType, co
 
 
 def _arrow(kind: T.DataType) -> pa.DataType:
+    if isinstance(kind, T.ArrayType):
+        return pa.list_(_arrow(kind.elementType))
     plain = {T.LongType: pa.int64(), T.IntegerType: pa.int32(), T.StringType: pa.string(), T.DoubleType: pa.float64(), T.BinaryType: pa.binary()}
     return plain[type(kind)]

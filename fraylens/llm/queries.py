@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fraylens.llm import chat, licenses, mixing, packing, phrases, quality, secret_scans, simhash, suffixes, topk
-from fraylens.llm.common import documents, read, staged
+from fraylens.llm import chat, collocations, decontamination, licenses, mixing, packing, phrases, quality, secret_scans, simhash, suffixes, topk
+from fraylens.llm.common import documents, read, sha256_hex, staged
 from fraylens.llm.sql import ORACLES
 
 __all__ = ["ORACLES", "QUERIES", "tokenizer_path"]
@@ -101,3 +101,17 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = staged(documents(spark, sf_dir).select("doc_id", "lang", "source", mixing.tokens(F.col("text")).alias("words")))
     out = mixing.mixed(counted, mixing.Mix(), n_tokens=F.col("words"))
     return out.select("row.doc_id", "mix_.*")
+
+
+@query
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
+@query
+def op12_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontamination.contaminated(documents(spark, sf_dir).select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+    items = F.array_join("leak.items", ",")
+    return out.select(
+        "doc_id", "leak.n_words", "leak.n_hit", F.size("leak.items").cast("long").alias("n_items"), sha256_hex(items).alias("items_sha256"), (F.col("leak.n_hit") > 0).alias("contaminated")
+    )

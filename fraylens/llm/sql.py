@@ -130,4 +130,75 @@ FROM (SELECT *, unnest(range(CAST(times AS BIGINT))) AS epoch FROM counted WHERE
 """
 
 
-ORACLES = {"op3_chat_formatting": CHAT, "op6_exact_top_k": TOP_K, "op7_license_scans": LICENSES, "op10_source_mixing": mixing(Mix())}
+COLLOCATIONS = f"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+    FROM documents
+), numbered AS (
+    SELECT lang, row_number() OVER () AS piece, regexp_extract_all(piece, '[^\\x20\\x09]+') AS words FROM pieces
+), spread AS (
+    SELECT lang, piece, unnest(words) AS a, generate_subscripts(words, 1) AS i FROM numbered
+), ahead AS (
+    SELECT lang, a, lead(a, 1) OVER w AS b, lead(a, 2) OVER w AS c, lead(a, 3) OVER w AS d, lead(a, 4) OVER w AS e
+    FROM spread WINDOW w AS (PARTITION BY piece ORDER BY i)
+), counted AS (
+    SELECT lang, a AS phrase, 1 AS k, count(*) AS f FROM ahead GROUP BY ALL
+    UNION ALL SELECT lang, concat_ws(' ', a, b), 2, count(*) FROM ahead WHERE b IS NOT NULL GROUP BY ALL HAVING count(*) >= 100
+    UNION ALL SELECT lang, concat_ws(' ', a, b, c), 3, count(*) FROM ahead WHERE c IS NOT NULL GROUP BY ALL HAVING count(*) >= 100
+    UNION ALL SELECT lang, concat_ws(' ', a, b, c, d), 4, count(*) FROM ahead WHERE d IS NOT NULL GROUP BY ALL HAVING count(*) >= 100
+    UNION ALL SELECT lang, concat_ws(' ', a, b, c, d, e), 5, count(*) FROM ahead WHERE e IS NOT NULL GROUP BY ALL HAVING count(*) >= 100
+), totals AS (
+    SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counted WHERE k = 1 GROUP BY lang
+), long AS (
+    SELECT lang, phrase, k, f, string_split(phrase, ' ') AS words FROM counted WHERE k > 1 AND f >= 100
+), inner_phrases AS (
+    SELECT DISTINCT l.lang, array_to_string(l.words[i:i + size - 1], ' ') AS phrase, l.f
+    FROM long l, (VALUES (2), (3), (4)) AS sizes(size), (VALUES (1), (2), (3), (4)) AS places(i) WHERE size < l.k AND i + size - 1 <= l.k
+), candidates AS (
+    SELECT * FROM long l WHERE NOT EXISTS (SELECT 1 FROM inner_phrases p WHERE p.lang = l.lang AND p.phrase = l.phrase AND 100 * p.f >= 100 * l.f)
+), cuts AS (
+    SELECT c.lang, c.phrase, c.f AS a, cut, t.n, x.f AS l, y.f AS r,
+        (1000 * CAST(c.f AS HUGEINT) * CAST(t.n AS HUGEINT)) // (CAST(x.f AS HUGEINT) * CAST(y.f AS HUGEINT)) AS score
+    FROM candidates c JOIN (VALUES (1), (2), (3), (4)) AS places(cut) ON cut < c.k JOIN totals t ON t.lang = c.lang
+    JOIN counted x ON x.lang = c.lang AND x.phrase = array_to_string(c.words[1:cut], ' ')
+    JOIN counted y ON y.lang = c.lang AND y.phrase = array_to_string(c.words[cut + 1:c.k], ' ')
+), best AS (
+    SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM best QUALIFY rank <= 2000
+"""
+
+_BENCH_WORDS = "regexp_extract_all(translate(coalesce({}, ''), '" + f"{UPPER}', '{LOWER}" + "'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+DECONTAMINATION = f"""
+WITH docs AS (
+    SELECT row_number() OVER () AS row, doc_id, {_BENCH_WORDS.format("text")} AS words FROM documents
+), items AS (
+    SELECT row_number() OVER () AS item, coalesce(CAST(item_id AS VARCHAR), '') AS id, {_BENCH_WORDS.format("text")} AS words FROM benchmark
+), windows AS (
+    SELECT DISTINCT id, k, phrase FROM (
+        SELECT id, 10 AS k, array_to_string(words[i:i + 9], ' ') AS phrase FROM (SELECT id, words, unnest(range(1, len(words) - 8)) AS i FROM items WHERE len(words) >= 10)
+        UNION ALL SELECT id, len(words), array_to_string(words, ' ') FROM items WHERE len(words) BETWEEN 1 AND 9
+    )
+), spread AS (
+    SELECT row, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM docs
+), places AS (
+    SELECT row, i, k, string_agg(w, ' ') OVER (PARTITION BY row, k ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS phrase, w
+    FROM spread, (SELECT DISTINCT k FROM windows WHERE k = 10)
+    UNION ALL SELECT s.row, s.i, z.k, (SELECT array_to_string(d.words[s.i:s.i + z.k - 1], ' ') FROM docs d WHERE d.row = s.row), s.w
+    FROM spread s, (SELECT DISTINCT k FROM windows WHERE k < 10) z
+), hits AS (
+    SELECT p.row, p.i, p.k, w.id FROM places p JOIN windows w ON w.k = p.k AND w.phrase = p.phrase
+), covered AS (
+    SELECT row, count(DISTINCT place) AS n_hit FROM (SELECT row, unnest(range(i, i + k)) AS place FROM (SELECT DISTINCT row, i, k FROM hits)) GROUP BY row
+), named AS (
+    SELECT row, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT row, id FROM hits) GROUP BY row
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+    sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN covered USING (row) LEFT JOIN named USING (row)
+"""
+
+
+ORACLES = {"op3_chat_formatting": CHAT, "op6_exact_top_k": TOP_K, "op7_license_scans": LICENSES, "op10_source_mixing": mixing(Mix()), "op11_phrase_collocations": COLLOCATIONS, "op12_benchmark_decontamination": DECONTAMINATION}
