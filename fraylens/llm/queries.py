@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fraylens.llm import chat, collocations, decontamination, licenses, mixing, packing, phrases, quality, secret_scans, simhash, suffixes, topk
+from fraylens.llm import chat, collocations, decontamination, licenses, mixing, packing, phrases, prefix_trie, quality, secret_scans, simhash, suffixes, topk
 from fraylens.llm.common import documents, read, sha256_hex, staged
 from fraylens.llm.sql import ORACLES
 
@@ -115,3 +115,8 @@ def op12_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return out.select(
         "doc_id", "leak.n_words", "leak.n_hit", F.size("leak.items").cast("long").alias("n_items"), sha256_hex(items).alias("items_sha256"), (F.col("leak.n_hit") > 0).alias("contaminated")
     )
+
+
+@query
+def op13_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.nodes(read(spark, sf_dir, "conversations"))

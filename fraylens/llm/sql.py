@@ -200,5 +200,48 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM docs LEFT JOIN covered USING (row) LEFT JOIN named USING (row)
 """
 
+PREFIX_TRIE = """
+WITH numbered AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k
+    FROM conversations WHERE conv_id IS NOT NULL
+), sized AS (
+    SELECT conv_id, count(*) AS n, CAST(conv_id AS VARCHAR) AS id FROM numbered GROUP BY conv_id
+), hashed AS ( -- CRC-32 of the id, bit by bit
+    SELECT conv_id, n, id, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)],
+        list_transform(range(8 * length(id)), lambda i: CAST((ascii(id[i // 8 + 1:i // 8 + 1]) >> (i % 8)) & 1 AS BIGINT))),
+        lambda crc, bit: xor(crc >> 1, CASE WHEN xor(crc, bit) & 1 = 1 THEN 3988292384 ELSE 0 END)), 4294967295) % 6 AS h
+    FROM sized
+), convs AS (
+    SELECT c.conv_id, c.h, least(c.h, coalesce(b.n, 0)) AS took, c.conv_id - c.conv_id % 100 AS base
+    FROM hashed c LEFT JOIN sized b ON b.conv_id = c.conv_id - c.conv_id % 100
+), turns AS (
+    SELECT c.conv_id, n.k AS d, n.role, n.text FROM convs c JOIN numbered n ON n.conv_id = c.base AND n.k <= c.took
+    UNION ALL SELECT c.conv_id, c.took + n.k - c.h, n.role, n.text FROM convs c JOIN numbered n ON n.conv_id = c.conv_id AND n.k > c.h
+), paths AS (
+    SELECT conv_id, d, length(text) AS size, sha256(string_agg(sha256(role) || sha256(text), '') OVER (PARTITION BY conv_id ORDER BY d)) AS node,
+    FROM turns
+    UNION ALL SELECT conv_id, 0, 0, '' FROM convs
+), linked AS (
+    SELECT *, lag(node) OVER w AS parent, lead(d) OVER w IS NULL AS ends FROM paths WINDOW w AS (PARTITION BY conv_id ORDER BY d)
+), nodes AS (
+    SELECT node, d, min(conv_id) AS conv_id, any_value(parent) AS parent, count(*) AS n_convs, (count(*) - 1) * any_value(size) AS saved,
+        sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+    FROM linked GROUP BY node, d
+), kids AS (
+    SELECT parent AS node, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY parent
+), below AS (
+    SELECT a.node, sum(n.saved) AS saved, count(*) FILTER (k.node IS NULL) AS leaves
+    FROM nodes n JOIN paths a ON a.conv_id = n.conv_id AND a.d <= n.d LEFT JOIN kids k ON k.node = n.node GROUP BY a.node
+)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children,
+    b.leaves AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN below b ON b.node = n.node LEFT JOIN kids k ON k.node = n.node LEFT JOIN nodes p ON p.node = n.parent AND n.d > 0
+"""
+
 
-ORACLES = {"op3_chat_formatting": CHAT, "op6_exact_top_k": TOP_K, "op7_license_scans": LICENSES, "op10_source_mixing": mixing(Mix()), "op11_phrase_collocations": COLLOCATIONS, "op12_benchmark_decontamination": DECONTAMINATION}
+ORACLES = {
+    "op3_chat_formatting": CHAT, "op6_exact_top_k": TOP_K, "op7_license_scans": LICENSES, "op10_source_mixing": mixing(Mix()),
+    "op11_phrase_collocations": COLLOCATIONS, "op12_benchmark_decontamination": DECONTAMINATION,
+    "op13_conversation_prefix_trie": PREFIX_TRIE,
+}
