@@ -1,18 +1,24 @@
 """Phrase collocations by HAT-trie counting.
 
-Every word occurrence starts a path: its phrase of up to five words, cut at the
-piece's end. A task streams its texts into a trie of word ids (``HatTrie``): a
-shallow trie whose leaves are hash containers from the rest of a path to its
-count; a container that grows beyond ``BURST`` paths bursts into one per next
-word. When the trie is full, whole subtrees leave it as sorted runs, one per
-prefix partition, and each prefix partition merges its runs (``merged``).
-
-A partition is the hash of a path's first three words. Shorter phrases go as
-totals of their own (one row a distinct phrase and spill), so a frequent word or
-word pair is no hot partition. A three-word prefix that alone outgrows a
-container is dealt by its fourth word too; a marked total tells the merging task,
-which then passes on sums below the threshold too, and a last aggregate adds them.
-No link between partitions is lost, whatever a spill dealt.
+A first pass counts words. A phrase occurs at most as often as each of its words,
+so a word below the threshold ends the phrases around it, and single words need no
+trie. In the second pass every word occurrence starts a path: its phrase of up to
+five words, cut at the piece's end and at rare words. A task streams its texts into a
+trie of word ids (``HatTrie``): a shallow trie whose leaves are hash containers from
+the rest of a path to its count; a container that grows beyond ``BURST`` paths
+bursts into containers of next words. When the trie is full, whole subtrees leave it
+as sorted runs, one per prefix partition, and each prefix partition merges its runs
+(``merged``).
+
+A partition is the hash of a path's first two words. A two-word prefix that alone
+outgrows a partition's usual share of a spill (``DEEP`` paths) is dealt by its third
+word, and if need be its fourth; a marked total tells the merging task of the prefix,
+which then passes on sums below the threshold too, and a last aggregate adds them. So
+nothing is lost whatever a spill dealt.
+
+The ids of the ``KNOWN`` most frequent words are broadcast: a bound that does not
+grow. Were there more words at the threshold, those beyond travel spelled out in the
+runs, and no word is taken for rare.
 
 Defined cases: a null text has no words; a null lang is ``und``; tables without
 rows give none; other columns are not read; repeated rows count each time; a text
@@ -22,7 +28,7 @@ of any length is read in segments, so only its words in flight are in memory.
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,17 +44,19 @@ from fraylens.llm.repeats import mixed
 __all__ = ["collocations", "phrase_counts"]
 
 LONGEST = 5
-#: Paths of a container before it bursts, of a trie before subtrees are spilled, and of a three-word prefix before it is dealt by its fourth word.
-BURST, FULL, DEEP = 1 << 14, 1_000_000, 4096
+#: Paths of a container before it bursts, of a trie before subtrees are spilled, and of a prefix before it is dealt by its next word.
+BURST, FULL, DEEP = 1 << 14, 1_000_000, 1 << 15
 #: Containers of an empty trie.
 _RANGES = 16
+#: Words whose ids are broadcast, and words that a task counts before it passes them on.
+KNOWN, _COUNTED = 1 << 18, 400_000
 #: Word ids of a trie take 16 bits; 0 ends a path.
 _IDS = 1 << 16
 #: Bytes of text that are split at a time, and that a prefix partition stands for.
 _SEGMENT, _SHARE = 1 << 17, 16 << 20
 _BREAK = b"\xff"  # no UTF-8 text holds it
 _PLAIN = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t" + bytes(range(65, 91)), _BREAK * 10 + b" " + bytes(range(97, 123)))
-_RUN = "lang string, level int, part int, run binary, n long"
+_RUN = "lang string, level int, part int, run binary"
 
 
 def segments(text: bytes) -> Iterator[list[bytes]]:
@@ -66,15 +74,27 @@ def segments(text: bytes) -> Iterator[list[bytes]]:
 
 
 class _Words(dict):
-    """Ids of words by first use; raises ``OverflowError`` beyond 16 bits."""
+    """16-bit ids of words by first use, 0 for rare ones; raises ``OverflowError`` when there are no more.
 
-    def __init__(self):
+    ``known`` has the ids for all tasks; with ``complete`` any other word is rare.
+    """
+
+    def __init__(self, known: dict[bytes, int], complete: bool):
         super().__init__({_BREAK: 0})
+        self.known, self.complete = known, complete
+        self.shared, self.other = [0], []  # ids for all tasks; words without one count from KNOWN on
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) == _IDS:
+        shared = self.known.get(word)
+        if shared is None:
+            if self.complete:
+                return 0
+            self.other.append(word)
+            shared = KNOWN + len(self.other)
+        if len(self.shared) == _IDS:
             raise OverflowError
-        self[word] = found = len(self)
+        self[word] = found = len(self.shared)
+        self.shared.append(shared)
         return found
 
 
@@ -115,12 +135,12 @@ class HatTrie:
     outgrows ``BURST`` in turn, does so for its frequent second words.
     """
 
-    def __init__(self, lang: str, parts: int):
-        self.lang, self.parts, self.left, self.seen = lang, parts, [], 0
+    def __init__(self, lang: str, parts: int, known: dict[bytes, int], complete: bool = True):
+        self.lang, self.parts, self.left, self.known, self.complete = lang, parts, [], known, complete
         self._clear()
 
     def _clear(self) -> None:
-        self.words = _Words()
+        self.words = _Words(self.known, self.complete)
         self.containers = [Container() for _ in range(_RANGES)]
         self.level = [0] * _RANGES
         self.of_word = np.arange(_IDS) * _RANGES // _IDS
@@ -153,9 +173,8 @@ class HatTrie:
         cols = [ids[k : k + n] for k in range(LONGEST)]
         for k in range(1, LONGEST):
             cols[k] = np.where(cols[k - 1] == 0, np.uint64(0), cols[k])
-        live = cols[0] != 0
+        live = cols[1] != 0
         first, second, third, fourth, fifth = (c[live] for c in cols)
-        self.seen += len(first)
         rest = (second << np.uint64(48)) | (third << np.uint64(32)) | (fourth << np.uint64(16)) | fifth
         self._put(first, rest, np.ones(len(first), np.int64))
 
@@ -210,56 +229,67 @@ class HatTrie:
         return self._runs([first] + [(rest >> np.uint64(s)) & np.uint64(0xFFFF) for s in (48, 32, 16, 0)], count)
 
     def _runs(self, cols: list[np.ndarray], count: np.ndarray) -> list[dict]:
-        names = list(self.words)
-        order = sorted(range(1, len(names)), key=names.__getitem__)
-        rank = np.zeros(len(names), np.uint64)
-        rank[order] = np.arange(1, len(names), dtype=np.uint64)
-        hashes = np.array([0, *(zlib.crc32(names[i]) for i in order)], np.uint64)
-        names = np.array([b"", *(names[i] for i in order)], object)
-        cols = [rank[c.astype(np.int64)] for c in cols]
-        rest = (cols[1] << np.uint64(48)) | (cols[2] << np.uint64(32)) | (cols[3] << np.uint64(16)) | cols[4]
-        by = np.lexsort((rest, cols[0]))
-        cols, count = [c[by] for c in cols], count[by]
-        out = []
-        for depth in (1, 2, 3):  # totals of phrases of one and two words, and of the three-word prefixes that burst
-            starts = np.flatnonzero(np.logical_or.reduce([np.diff(c, prepend=_IDS) != 0 for c in cols[:depth]]))
-            sums, sizes = np.add.reduceat(count, starts), np.diff(starts, append=len(count))
-            real = cols[depth - 1][starts] != 0
-            if depth == 3:
-                real &= sizes > DEEP
-                sums = -sums  # marked
-                burst = np.repeat(real, sizes)
-            out += self._level(depth, [c[starts][real] if k < depth else np.zeros(real.sum(), np.uint64) for k, c in enumerate(cols)], sums[real], names, hashes)
-        whole = (cols[2] != 0) & ~burst
-        out += self._level(3, [c[whole] for c in cols], count[whole], names, hashes)
-        deep = burst & (cols[3] != 0)
-        return out + self._level(4, [c[deep] for c in cols], count[deep], names, hashes)
-
-    def _level(self, level: int, cols: list[np.ndarray], count: np.ndarray, names: np.ndarray, hashes: np.ndarray) -> list[dict]:
+        shared = np.array(self.words.shared, np.int64)
+        own = np.argsort(np.array(self.words.other, object)) if self.words.other else np.zeros(0, np.int64)  # words spelled out go by their order
+        rank = np.empty(len(own), np.int64)
+        rank[own] = np.arange(1, len(own) + 1)
+        others = [self.words.other[i] for i in own]
+        spelled = shared > KNOWN
+        shared[spelled] = KNOWN + rank[shared[spelled] - KNOWN - 1]
+        hashes = mixed(shared.astype(np.uint64))
+        hashes[spelled] = [zlib.crc32(others[i]) for i in shared[spelled] - KNOWN - 1]
+        part = mixed(hashes[cols[0].astype(np.int64)]) + hashes[cols[1].astype(np.int64)]
+        cols = [shared[c.astype(np.int64)] for c in cols]
+        bits = int(shared.max()).bit_length()
+        keys = [(cols[0] << bits | cols[1]).astype(np.int64), cols[2] << bits | cols[3], cols[4]]
+        by = np.lexsort(keys[::-1])
+        cols, count, part = [c[by] for c in cols], count[by], part[by]
+        out, inside = [], np.ones(len(count), bool)
+        for level in (2, 3):
+            starts = np.flatnonzero(np.logical_or.reduce([np.diff(c, prepend=-1) != 0 for c in cols[:level]]))
+            sizes = np.diff(starts, append=len(count))
+            large = inside[starts] & (sizes > DEEP) & (cols[level - 1][starts] != 0)
+            deep = np.repeat(large, sizes)
+            total = -np.add.reduceat(count, starts)[large]  # marked
+            out += self._level(level, [c[starts][large] * (k < level) for k, c in enumerate(cols)], total, part[starts][large], others)
+            here = inside & ~deep
+            out += self._level(level, [c[here] for c in cols], count[here], part[here], others)
+            inside = deep & (cols[level] != 0)
+            part = mixed(part) + hashes_of(cols[level], others)
+        return out + self._level(4, [c[inside] for c in cols], count[inside], part[inside], others)
+
+    def _level(self, level: int, cols: list[np.ndarray], count: np.ndarray, part: np.ndarray, others: list[bytes]) -> list[dict]:
         if not len(count):
             return []
-        part = np.zeros(len(count), np.uint64)
-        for c in cols[:level]:
-            part = mixed(part + hashes[c.astype(np.int64)])
-        part = (part % np.uint64(self.parts)).astype(np.int64)
-        by = np.argsort(part, kind="stable")
+        part = (mixed(part) % np.uint64(self.parts)).astype(np.int64)
+        by = np.argsort(part.astype(np.uint16) if self.parts < _IDS else part, kind="stable")
         cuts = np.flatnonzero(np.diff(part[by], prepend=-1))
         return [
-            {"lang": self.lang, "level": level, "part": int(part[at[0]]), "run": packed([c[at] for c in cols], count[at], names), "n": 0}
-            for at in np.split(by, cuts[1:])
+            {"lang": self.lang, "level": level, "part": int(part[at[0]]), "run": packed([c[at] for c in cols], count[at], others)} for at in np.split(by, cuts[1:])
         ]
 
 
-def packed(cols: list[np.ndarray], count: np.ndarray, names: np.ndarray) -> bytes:
-    """A sorted run: its words, then its columns in ids of these words, then the counts."""
-    cols = [c.astype(np.int64) for c in cols]
-    met = np.zeros(len(names), bool)
-    for c in cols:
-        met[c] = True
-    met[0] = False  # ends a path
-    words = b"\n".join(names[met].tolist())
-    own = np.cumsum(met).astype("<u2") * met
-    body = [np.array([len(words), len(count)], "<i8").tobytes(), words, *(own[c].tobytes() for c in cols), count.astype("<i8").tobytes()]
+def hashes_of(ids: np.ndarray, others: list[bytes]) -> np.ndarray:
+    """Hashes of words by their ids for all tasks, or by their spelling."""
+    out = mixed(ids.astype(np.uint64))
+    spelled = ids > KNOWN
+    if spelled.any():
+        out[spelled] = np.array([zlib.crc32(w) for w in others], np.uint64)[ids[spelled] - KNOWN - 1]
+    return out
+
+
+def packed(cols: list[np.ndarray], count: np.ndarray, others: list[bytes]) -> bytes:
+    """A sorted run: the words it spells out, its columns of ids, the counts."""
+    words = b""
+    if others:
+        used, at = np.unique(np.concatenate([c[c > KNOWN] for c in cols]), return_inverse=True)
+        words, done = b"\n".join(others[i - KNOWN - 1] for i in used), 0
+        cols = [c.copy() for c in cols]
+        for c in cols:
+            n = int((c > KNOWN).sum())
+            c[c > KNOWN] = KNOWN + 1 + at[done : done + n]
+            done += n
+    body = [np.array([len(words), len(count)], "<i8").tobytes(), words, *(c.astype("<u4").tobytes() for c in cols), count.astype("<i8").tobytes()]
     return zstandard.ZstdCompressor(level=1).compress(b"".join(body))
 
 
@@ -267,69 +297,111 @@ def unpacked(run: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     body = zstandard.ZstdDecompressor().decompress(run)
     size, n = np.frombuffer(body, "<i8", 2).tolist()
     words = body[16 : 16 + size].split(b"\n") if size else []
-    ids = np.frombuffer(body, "<u2", LONGEST * n, 16 + size).reshape(LONGEST, n)
-    return words, ids, np.frombuffer(body, "<i8", n, 16 + size + 2 * LONGEST * n)
+    ids = np.frombuffer(body, "<u4", LONGEST * n, 16 + size).reshape(LONGEST, n).astype(np.int64)
+    return words, ids, np.frombuffer(body, "<i8", n, 16 + size + 4 * LONGEST * n)
 
 
-def merged(runs: list[bytes], level: int, least: int) -> tuple[list[bytes], list[int]]:
-    """Phrases of a prefix partition and their counts: those of at least ``least``, and every one below a burst prefix."""
-    words: dict[bytes, int] = {}
+def merged(runs: list[bytes], level: int, least: int, names: list[bytes]) -> tuple[list[bytes], list[int]]:
+    """Phrases of a prefix partition and their counts: those of at least ``least``, and every one below a marked prefix.
+
+    ``names`` are the known words of the language, by id.
+    """
     held = [unpacked(r) for r in runs]
-    for names, _, _ in held:
-        for w in names:
-            words.setdefault(w, 0)
-    names = sorted(words)
-    words = {w: i for i, w in enumerate(names, 1)}
-    ids = [np.array([0, *map(words.__getitem__, own)], np.int64)[cols] for own, cols, _ in held]
-    cols = np.concatenate(ids, axis=1)
+    spelled = sorted({w for words, _, _ in held for w in words})
+    if spelled:
+        own = {w: KNOWN + 1 + i for i, w in enumerate(spelled)}
+        for words, ids, _ in held:
+            if words:
+                ids[ids > KNOWN] = np.array([own[w] for w in words])[ids[ids > KNOWN] - KNOWN - 1]
+    cols = np.concatenate([ids for _, ids, _ in held], axis=1)
     count = np.concatenate([c for _, _, c in held])
-    del held, ids
-    bits = max(1, len(names).bit_length())
-    keys, at = [], 0
-    while at < LONGEST:  # as many words as fit into one sort key
+    del held
+    bits = int(cols.max()).bit_length()
+    fits, keys = 63 // bits, []
+    for at in range(0, LONGEST, fits):  # as many words as one sort key holds
         key = np.zeros(cols.shape[1], np.int64)
-        for c in cols[at : at + max(1, 63 // bits)]:
+        for c in cols[at : at + fits]:
             key = (key << bits) | c
         keys.append(key)
-        at += max(1, 63 // bits)
-    by = np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
+    by = np.lexsort(keys[::-1])
     cols, count = cols[:, by], count[by]
     marked, count = count < 0, np.abs(count)
     phrases, sums = [], []
     new = np.zeros(len(count), bool)
-    open_below = np.full(len(count), level == 4)
+    open_below = np.full(len(count), level > 2)
     for depth in range(1, LONGEST + 1):
         new |= np.diff(cols[depth - 1], prepend=-1) != 0
         if depth < level:
             continue
         starts = np.flatnonzero(new)
-        if level == 3 and depth == 3:
-            open_below = np.repeat(np.add.reduceat(marked.astype(np.int64), starts) > 0, np.diff(starts, append=len(count)))
+        if depth == level == 2 and marked.any():
+            open_below = np.repeat(np.logical_or.reduceat(marked, starts), np.diff(starts, append=len(count)))
         total = np.add.reduceat(count, starts)
         shown = (cols[depth - 1][starts] != 0) & ((total >= least) | open_below[starts])
-        if level < 3 and depth > level:
-            break
         for row in cols[:depth, starts[shown]].T.tolist():
-            phrases.append(b" ".join([names[i - 1] for i in row]))
+            phrases.append(b" ".join([names[i - 1] if i <= KNOWN else spelled[i - KNOWN - 1] for i in row]))
         sums += total[shown].tolist()
     return phrases, sums
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), encoded(F.col("text")).alias("text"))
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """lang, phrase, f of every word, and one row a lang with a null phrase: its word occurrences."""
+
+    def counted(batches):
+        found: dict[str, Counter] = defaultdict(Counter)
+        total = Counter()
+
+        def rows():
+            columns = ([], [], [])
+            for lang, words in found.items():
+                columns[0].extend([lang] * len(words))
+                columns[1].extend(w.decode() for w in words)
+                columns[2].extend(words.values())
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _WORD_KINDS, strict=True)], ["lang", "phrase", "f"])
+
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for words in segments(text.as_py()):
+                    words = [w for w in words if w != _BREAK]
+                    total[lang] += len(words)
+                    found[lang].update(words)
+                if len(found[lang]) > _COUNTED:
+                    yield rows()
+        yield rows()
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((list(total), [None] * len(total), list(total.values())), _WORD_KINDS, strict=True)], ["lang", "phrase", "f"])
+
+    return _texts(docs).mapInArrow(counted, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+
+
+_WORD_KINDS = [pa.string(), pa.string(), pa.int64()]
+
+
 def phrase_counts(docs: DataFrame, least: int) -> DataFrame:
     """lang, words, phrase, f of every phrase of one to five words with f >= ``least``, and one row a lang with words 0: its word occurrences."""
-    source = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), encoded(F.col("text")).alias("text"))
-    spark = docs.sparkSession
+    source, spark = _texts(docs), docs.sparkSession
     size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
     parts = max(8, -(-source.rdd.getNumPartitions() * size // _SHARE))
+    single = staged(word_counts(docs).where(F.col("phrase").isNull() | (F.col("f") >= least)))
+    first = single.where("phrase IS NOT NULL").orderBy(F.desc("f"), "lang", "phrase").limit(KNOWN + 1).collect()
+    complete, names = len(first) <= KNOWN, defaultdict(list)
+    for row in first[:KNOWN]:
+        names[row["lang"]].append(row["phrase"].encode())
+    sent = spark.sparkContext.broadcast(dict(names))  # at most KNOWN words
 
     def runs(batches):
+        known = {lang: {w: i for i, w in enumerate(words, 1)} for lang, words in sent.value.items()}
         tries: dict[str, HatTrie] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 langs, texts = batch.column(0).slice(at, 64).to_pylist(), batch.column(1).slice(at, 64).to_pylist()
                 waiting = defaultdict(list)
                 for lang, text in zip(langs, texts, strict=True):
-                    trie = tries.get(lang) or tries.setdefault(lang, HatTrie(lang, parts))
+                    trie = tries.get(lang) or tries.setdefault(lang, HatTrie(lang, parts, known.get(lang, {}), complete))
                     for words in segments(text):
                         waiting[lang] += words
                         if len(waiting[lang]) >= 1 << 15:
@@ -338,28 +410,25 @@ def phrase_counts(docs: DataFrame, least: int) -> DataFrame:
                     yield from _batches(tries[lang].add(words))
                 while sum(t.size for t in tries.values()) > FULL:
                     yield from _batches(max(tries.values(), key=lambda t: t.size).spill(0))
-        for lang, trie in tries.items():
+        for trie in tries.values():
             yield from _batches(trie.add([_BREAK] * LONGEST))
             yield from _batches(trie.spill(0))
-            yield from _batches([{"lang": lang, "level": 0, "part": 0, "run": None, "n": trie.seen}])
 
     def merge(key, rows):
         lang, level, _ = (k.as_py() for k in key)
-        if level:
-            phrases, sums = merged(rows["run"].to_pylist(), level, least)
-        else:
-            phrases, sums = [b""], [sum(rows["n"].to_pylist())]
-        sizes = [p.count(b" ") + 1 if p else 0 for p in phrases]
-        columns = {"lang": [lang] * len(sums), "words": sizes, "phrase": [p.decode() for p in phrases], "f": sums}
+        phrases, sums = merged(rows["run"].to_pylist(), level, least, sent.value.get(lang, []))
+        columns = {"lang": [lang] * len(sums), "words": [p.count(b" ") + 1 for p in phrases], "phrase": [p.decode() for p in phrases], "f": sums}
         return pa.Table.from_pydict(columns, pa.schema({"lang": pa.string(), "words": pa.int32(), "phrase": pa.string(), "f": pa.int64()}))
 
     spilled = source.mapInArrow(runs, _RUN)
-    parts_merged = spilled.groupBy("lang", "level", "part").applyInArrow(merge, "lang string, words int, phrase string, f long")
-    return parts_merged.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("words") == 0))
+    long = spilled.groupBy("lang", "level", "part").applyInArrow(merge, "lang string, words int, phrase string, f long")
+    long = long.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    words = F.when(F.col("phrase").isNull(), 0).otherwise(1)
+    return long.unionByName(single.select("lang", words.alias("words"), "phrase", "f"))
 
 
 def _batches(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-    kinds = {"lang": pa.string(), "level": pa.int32(), "part": pa.int32(), "run": pa.binary(), "n": pa.int64()}
+    kinds = {"lang": pa.string(), "level": pa.int32(), "part": pa.int32(), "run": pa.binary()}
     for at in range(0, len(rows), 256):
         yield pa.RecordBatch.from_pylist(rows[at : at + 256], pa.schema(kinds))
 

@@ -48,57 +48,72 @@ def plain_collocations(rows, least, shown=2000):
     return {(lang, i, p.decode(), -a, left, right, n[lang], -s) for lang, found in out.items() for i, (s, a, p, left, right) in enumerate(sorted(found)[:shown], 1)}
 
 
-@pytest.mark.parametrize(("least", "full", "deep"), [(5, 1_000_000, 4096), (3, 400, 20)])
-def test_collocations(docs, rows, monkeypatch, least, full, deep):
-    """The second case spills and bursts often, on the driver's side of the same code."""
-    if full < 1000:
-        found = Counter()
-        monkeypatch.setattr(collocations, "FULL", full)
-        monkeypatch.setattr(collocations, "DEEP", deep)
-        monkeypatch.setattr(collocations, "BURST", 64)
-        tries, runs = {}, []
-        for r in rows:
-            lang = r[2] if r[2] is not None else "und"
-            trie = tries.setdefault(lang, collocations.HatTrie(lang, 7))
-            for part in collocations.segments((r[1] or "").encode()):
-                runs += trie.add(part)
-        for trie in tries.values():
-            runs += trie.add([b"\xff"] * 5) + trie.spill(0)
-        groups = defaultdict(list)
-        for run in runs:
-            groups[run["lang"], run["level"], run["part"]].append(run["run"])
-        assert {k[1] for k in groups} == {1, 2, 3, 4}
-        for (lang, level, _), own in groups.items():
-            for phrase, n in zip(*collocations.merged(own, level, least), strict=True):
-                found[lang, phrase.decode()] += n
-        expected = Counter()
-        for r in rows:
-            for piece in re.split("[.,;:!?\x0a-\x0d]", (r[1] or "").translate(LOWER)):
-                w = re.findall("[^\x20\x09]+", piece)
-                for k in range(1, 6):
-                    expected.update((r[2] if r[2] is not None else "und", " ".join(w[i : i + k])) for i in range(len(w) - k + 1))
-        assert {k: c for k, c in found.items() if c >= least} == {k: c for k, c in expected.items() if c >= least}
-        return
-    got = {tuple(r) for r in collocations.collocations(docs, least).collect()}
-    assert got == plain_collocations(rows, least) and len(got) > 50
+def plain_phrases(rows):
+    found = Counter()
+    for r in rows:
+        for piece in re.split("[.,;:!?\x0a-\x0d]", (r[1] or "").translate(LOWER)):
+            w = re.findall("[^\x20\x09]+", piece)
+            for k in range(1, 6):
+                found.update((r[2] if r[2] is not None else "und", " ".join(w[i : i + k])) for i in range(len(w) - k + 1))
+    return found
+
+
+def test_collocations(docs, rows):
+    got = {tuple(r) for r in collocations.collocations(docs, 5).collect()}
+    assert got == plain_collocations(rows, 5) and len(got) > 50
     assert collocations.collocations(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("known", [1 << 18, 40])
+def test_trie_that_spills_and_bursts_often(rows, monkeypatch, known):
+    """With few known words the others are spelled out, and none is rare."""
+    for name, value in [("FULL", 400), ("DEEP", 20), ("BURST", 64), ("KNOWN", known)]:
+        monkeypatch.setattr(collocations, name, value)
+    least, expected = 3, plain_phrases(rows)
+    names = defaultdict(list)
+    for (lang, w), n in sorted(expected.items(), key=lambda x: (-x[1], x[0])):
+        if n >= least and " " not in w and len(names[lang]) < known:
+            names[lang].append(w.encode())
+    tries, runs = {}, []
+    for r in rows:
+        lang = r[2] if r[2] is not None else "und"
+        trie = tries.get(lang) or tries.setdefault(lang, collocations.HatTrie(lang, 7, {w: i for i, w in enumerate(names[lang], 1)}, known > 1000))
+        for part in collocations.segments((r[1] or "").encode()):
+            runs += trie.add(part)
+    for trie in tries.values():
+        runs += trie.add([b"\xff"] * 5) + trie.spill(0)
+    groups, found = defaultdict(list), Counter()
+    for run in runs:
+        groups[run["lang"], run["level"], run["part"]].append(run["run"])
+    assert {k[1] for k in groups} == {2, 3, 4}
+    for (lang, level, _), own in groups.items():
+        for phrase, n in zip(*collocations.merged(own, level, least, names[lang]), strict=True):
+            found[lang, phrase.decode()] += n
+    assert {k: c for k, c in found.items() if c >= least} == {k: c for k, c in expected.items() if c >= least and " " in k[1]}
+
+
+def test_phrases_beyond_the_known_words(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(collocations, "KNOWN", 30)
+    got = {(r["lang"], r["phrase"]): r["f"] for r in collocations.phrase_counts(docs, 4).where("words > 0").collect()}
+    assert got == {k: c for k, c in plain_phrases(rows).items() if c >= 4}
+
+
 def test_collocations_keep_the_first_of_each_language(docs, rows):
     got = {tuple(r) for r in collocations.collocations(docs, 4, 7).collect()}
     assert got == plain_collocations(rows, 4, 7)
 
 
 def test_a_vocabulary_beyond_16_bits_spills():
-    trie, runs = collocations.HatTrie("x", 3), []
+    trie, runs = collocations.HatTrie("x", 3, {}, complete=False), []
     for at in range(0, 150_000, 30_000):
         runs += trie.add([b"w%d" % (i // 2) for i in range(at, at + 30_000)])
     runs += trie.add([b"%d" % i for i in range(70_000)] + [b"\xff"] * 5) + trie.spill(0)
     found = Counter()
     for part in range(3):
-        for phrase, n in zip(*collocations.merged([r["run"] for r in runs if (r["level"], r["part"]) == (1, part)], 1, 1), strict=True):
+        for phrase, n in zip(*collocations.merged([r["run"] for r in runs if (r["level"], r["part"]) == (2, part)], 2, 1, []), strict=True):
             found[phrase] += n
-    assert found == Counter({b"w%d" % i: 2 for i in range(75_000)} | {b"%d" % i: 1 for i in range(70_000)})
+    pairs = {p: n for p, n in found.items() if p.count(b" ") == 1}
+    assert len(pairs) == 75_000 + 74_999 + 70_000 and set(pairs.values()) == {1} and pairs[b"w7 w7"] == pairs[b"w74999 0"] == 1
 
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
