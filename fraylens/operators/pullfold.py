@@ -159,6 +159,7 @@ class PullFold:
         self._dead_ids: set[str] = set()
         self._match: dict | None = None
         self._evidence = False
+        self._met: set[str] = set()  # definitions whose victory trigger was met before one was bound
 
     def _finish(self, line: int | None, reason: str | None) -> Closed:
         pull, self.open = self.open, None
@@ -198,13 +199,22 @@ class PullFold:
             npc_id, raw, canonical = step.died
             self._dead_ids.add(npc_id)
             self._dead_names |= {_norm(raw), _norm(canonical)}
-        if step.victory_of and self._match is not None:
-            bound = self._matcher.definition(self._ids)
-            self._evidence = self._evidence or (bound is not None and bound["id"] in step.victory_of)
+        if step.victory_of or (self._met and new):
+            self._meet(set(step.victory_of))
         self.open.hit = self.open.hit or step.hit
         if step.clock_ts is not None:
             self.last_activity = step.clock_ts
 
+    def _meet(self, met: set[str]) -> None:
+        """A victory trigger counts for the definition that is bound; the first one bound also gets what was met before it."""
+        bound = self._matcher.definition(self._ids)
+        if bound is None:
+            self._met |= met
+            return
+        if self._met:
+            met, self._met = met | self._met, set()
+        self._evidence = self._evidence or bound["id"] in met
+
     def push(self, step: Step) -> Closed | None:
         """Applies one step; returns the pull it closed, if any."""
         if step.area:

@@ -214,6 +214,19 @@ LEFT JOIN npc n USING (npc_id)""",
 SELECT g.*, coalesce(n.name, raw_name) AS canonical_name FROM (
  SELECT log_id, pull_id, target_npc_id AS npc_id, target_name AS raw_name, min(line_number) AS first_line
  FROM t WHERE type = 'death' AND target_kind = 'npc' GROUP BY ALL) g LEFT JOIN npc n USING (npc_id)""",
+    # The sample definition bound at the end of a pull, and the line after which it took over from the other.
+    "def_bound": """
+SELECT log_id, pull_id, CASE WHEN f1 IS NULL AND f2 IS NULL THEN 'd1' WHEN f0 IS NULL OR least(f1, f2) < f0 OR (f1 IS NOT NULL AND f2 IS NOT NULL) THEN 'd2' ELSE 'd1' END AS definition_id,
+ CASE WHEN f0 < least(f1, f2) AND f1 IS NOT NULL AND f2 IS NOT NULL THEN greatest(f1, f2) ELSE -1 END AS from_line
+FROM (SELECT log_id, pull_id, min(first_line) FILTER (npc_id = '0') AS f0, min(first_line) FILTER (npc_id = '1') AS f1, min(first_line) FILTER (npc_id = '2') AS f2
+ FROM engaged WHERE npc_id IN ('0', '1', '2') GROUP BY ALL)""",
+    "triggered": """
+SELECT log_id, line_number, 'd1' AS definition_id FROM ctx WHERE (type = 'applyEffect' AND effect_id = '4' AND source_kind = 'player') OR (type = 'death' AND target_npc_id = '7')
+UNION ALL SELECT log_id, line_number, 'd2' FROM ctx
+WHERE type = 'damage' AND target_kind = 'npc' AND target_max_hp > 0 AND (target_npc_id = '1' OR lower(trim(target_name)) = 'npc 2') AND target_hp / target_max_hp * 100 <= 3""",
+    "def_won": """
+SELECT DISTINCT b.log_id, b.pull_id FROM t JOIN triggered g USING (log_id, line_number) JOIN def_bound b ON b.log_id = t.log_id AND b.pull_id = t.pull_id
+WHERE CASE g.definition_id WHEN 'd2' THEN b.definition_id = 'd2' AND line_number > from_line ELSE b.definition_id = 'd1' OR line_number <= from_line END""",
     "enc_all_ids": "SELECT encounter_id, npc_id FROM enc_boss_ids UNION SELECT encounter_id, npc_id FROM observed",
     "facts": """
 SELECT log_id, pull_id, b.encounter_id, concat('n:', b.name) AS ev, 2 AS pts, min(first_line) AS first_line FROM engaged e JOIN enc_boss b USING (name) GROUP BY ALL
@@ -259,7 +272,7 @@ SELECT log_id, pull_id, encounter_id,
  (evidence OR (wanted_n = 1 AND id_dead AND down = 0) OR CASE WHEN every THEN down = wanted_n ELSE down > 0 END) AS cleared
 FROM (
  SELECT m.log_id, m.pull_id, m.encounter_id, count(*) AS wanted_n, count(d.name) AS down, bool_or(w.every) AS every,
-  (m.log_id, m.pull_id) IN (SELECT log_id, pull_id FROM evidence) AS evidence,
+  (m.log_id, m.pull_id) IN (SELECT log_id, pull_id FROM evidence UNION ALL SELECT log_id, pull_id FROM def_won) AS evidence,
   (m.log_id, m.pull_id, m.encounter_id) IN (SELECT log_id, pull_id, encounter_id FROM dead JOIN enc_boss_ids USING (npc_id)) AS id_dead
  FROM matches m JOIN wanted w USING (encounter_id)
  LEFT JOIN dead_names d ON d.log_id = m.log_id AND d.pull_id = m.pull_id AND d.name = w.name GROUP BY m.log_id, m.pull_id, m.encounter_id)""",
@@ -389,8 +402,194 @@ SELECT owner_id, player_id, server_id, name FROM (
     "linked": """
 SELECT DISTINCT CAST(o_orderkey % 12 AS BIGINT) AS user_id, CAST(o_custkey % 1500 AS VARCHAR(20)) AS player_id,
  CASE o_orderkey % 3 WHEN 0 THEN 'he0' WHEN 1 THEN 'he1' END AS server_id FROM orders""",
+    # Challenges of the two sample definitions, each written out as the filter that it is.
+    "chal_list": _values(
+        "definition_id, challenge_id, metric",
+        [
+            ("d1", "open-damage", "damage"), ("d1", "burn-heal", "effective_healing"), ("d1", "low-boss", "damage"), ("d1", "armed", "damage_taken"),
+            ("d1", "kicks", "interrupt_count"), ("d2", "casts", "ability_count"), ("d2", "marks", "effect_count"), ("d2", "stacks", "effect_stacks"),
+            ("d2", "soaked", "damage_absorbed"), ("d2", "mid-band", "healing"), ("d2", "mended", "healing_taken"), ("d2", "focus", "damage"),
+        ],
+    ),
+    "chal_all": """
+SELECT b.log_id, b.pull_id, challenge_id, metric, from_line, p.started_at, p.ended_at FROM def_bound b JOIN chal_list USING (definition_id) JOIN pulls p USING (log_id, pull_id)
+WHERE challenge_id <> 'mended' OR p.ctx_difficulty IN ('Story', 'Veteran')""",
+    "chal_state": """
+SELECT t.*, definition_id, from_line, p.local_player_id AS me, p.ctx_difficulty AS hard, p.ended_at AS pull_end,
+ count(*) FILTER (type = 'damage' AND source_kind = 'player') OVER w AS n,
+ last_value(CASE WHEN target_npc_id = '0' AND target_hp IS NOT NULL THEN target_hp / target_max_hp * 100 WHEN source_npc_id = '0' AND source_hp IS NOT NULL THEN source_hp / source_max_hp * 100 END IGNORE NULLS) OVER w AS hp0,
+ last_value(CASE WHEN target_npc_id = '1' AND target_hp IS NOT NULL THEN target_hp / target_max_hp * 100 WHEN source_npc_id = '1' AND source_hp IS NOT NULL THEN source_hp / source_max_hp * 100 END IGNORE NULLS) OVER w AS hp1,
+ last_value(CASE WHEN target_npc_id = '2' AND target_hp IS NOT NULL THEN target_hp / target_max_hp * 100 WHEN source_npc_id = '2' AND source_hp IS NOT NULL THEN source_hp / source_max_hp * 100 END IGNORE NULLS) OVER w AS hp2,
+ last_value(CASE WHEN type = 'target' AND source_id = p.local_player_id THEN CASE WHEN state = 'cleared' THEN '' ELSE target_id END END IGNORE NULLS) OVER w AS aim
+FROM t JOIN def_bound b USING (log_id, pull_id) JOIN pulls p USING (log_id, pull_id)
+WINDOW w AS (PARTITION BY t.log_id, t.pull_id ORDER BY t.line_number)""",
+    "chal_ev": """
+SELECT *, n < 2 AS opening, CASE WHEN n < 2 THEN n ELSE n - 2 END <= 3 AS armed, coalesce(hp0 <= 50, false) AS low,
+ coalesce(hp1 BETWEEN 30 AND 60, false) OR coalesce(hp2 BETWEEN 30 AND 60, false) AS mid FROM chal_state WHERE line_number > from_line""",
+    "chal_hits": """
+SELECT log_id, pull_id, challenge_id, line_number, player_id, name, CAST(amount AS DOUBLE) AS amount FROM (
+ SELECT log_id, pull_id, line_number, 'open-damage' AS challenge_id, source_id AS player_id, source_name AS name, amount FROM chal_ev
+  WHERE definition_id = 'd1' AND type = 'damage' AND source_kind = 'player' AND opening
+ UNION ALL SELECT log_id, pull_id, line_number, 'burn-heal', source_id, source_name, coalesce(effective, amount) FROM chal_ev
+  WHERE definition_id = 'd1' AND type = 'heal' AND source_kind = 'player' AND NOT opening
+ UNION ALL SELECT log_id, pull_id, line_number, 'low-boss', source_id, source_name, amount FROM chal_ev
+  WHERE definition_id = 'd1' AND type = 'damage' AND source_kind = 'player' AND target_kind = 'npc' AND target_npc_id = '0' AND low
+ UNION ALL SELECT log_id, pull_id, line_number, 'armed', target_id, target_name, amount FROM chal_ev
+  WHERE definition_id = 'd1' AND type = 'damage' AND target_kind = 'player' AND armed
+ UNION ALL SELECT log_id, pull_id, line_number, 'kicks', source_id, source_name, 1 FROM chal_ev
+  WHERE definition_id = 'd1' AND type = 'ability' AND phase = 'interrupt' AND source_kind = 'player'
+ UNION ALL SELECT log_id, pull_id, line_number, 'casts', target_id, target_name, 1 FROM chal_ev
+  WHERE definition_id = 'd2' AND type = 'ability' AND phase = 'activate' AND target_kind = 'player' AND ability_id IN ('2', '3', '4')
+ UNION ALL SELECT log_id, pull_id, line_number, 'marks', source_id, source_name, 1 FROM chal_ev
+  WHERE definition_id = 'd2' AND type = 'applyEffect' AND source_kind = 'player' AND effect_id IN ('0', '2') AND source_id IS DISTINCT FROM me
+ UNION ALL SELECT log_id, pull_id, line_number, 'soaked', source_id, source_name, coalesce(absorbed, 0) FROM chal_ev
+  WHERE definition_id = 'd2' AND type = 'damage' AND source_kind = 'player' AND target_kind = 'npc' AND target_npc_id IN ('1', '2', '5')
+ UNION ALL SELECT log_id, pull_id, line_number, 'mid-band', source_id, source_name, amount FROM chal_ev
+  WHERE definition_id = 'd2' AND type = 'heal' AND source_kind = 'player' AND mid
+ UNION ALL SELECT log_id, pull_id, line_number, 'mended', target_id, target_name, coalesce(effective, amount) FROM chal_ev
+  WHERE definition_id = 'd2' AND type = 'heal' AND target_kind = 'player' AND target_id IS DISTINCT FROM me AND hard IN ('Story', 'Veteran')
+ UNION ALL SELECT log_id, pull_id, line_number, 'focus', source_id, source_name, amount FROM chal_ev
+  WHERE definition_id = 'd2' AND type = 'damage' AND source_kind = 'player' AND target_id = nullif(aim, '')
+) WHERE amount <> 0""",
+    "chal_piles": """
+SELECT log_id, pull_id, player_id, pile, min(line_number) AS line_number, arg_min(name, line_number) AS name, max(height) FILTER (NOT gone) AS height, bool_or(gone) AS gone FROM (
+ SELECT log_id, pull_id, source_id AS player_id, source_name AS name, line_number, type = 'removeEffect' AS gone,
+  CASE WHEN type = 'applyEffect' THEN coalesce(charges, 1) ELSE coalesce(charges, 0) END AS height,
+  coalesce(sum(CASE WHEN type = 'removeEffect' THEN 1 ELSE 0 END) OVER (PARTITION BY log_id, pull_id, source_id ORDER BY line_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pile
+ FROM chal_ev WHERE definition_id = 'd2' AND type IN ('applyEffect', 'modifyCharges', 'removeEffect') AND source_kind = 'player' AND effect_id IN ('1', '3', '5')
+) GROUP BY ALL""",
+    "chal_players": """
+SELECT log_id, pull_id, challenge_id, player_id, arg_min(name, line_number) AS player_name, sum(amount) AS value, count(*) AS event_count FROM chal_hits GROUP BY ALL
+UNION ALL SELECT log_id, pull_id, 'stacks', player_id, arg_min(name, line_number), CAST(sum(coalesce(height, 0)) AS DOUBLE), count(*) FILTER (height > 0 OR (height IS NOT NULL AND NOT gone)) FROM chal_piles GROUP BY ALL""",
+    "chal_islands": """
+SELECT log_id, pull_id, challenge_id, greatest(0, arg_max(until, line_number) - arg_min(ts_ms, line_number)) AS ms FROM (
+ SELECT *, sum(CASE WHEN active AND NOT coalesce(was, false) THEN 1 ELSE 0 END) OVER (PARTITION BY log_id, pull_id, challenge_id ORDER BY line_number) AS island FROM (
+  SELECT *, lag(active) OVER w AS was, coalesce(lead(ts_ms) OVER w, pull_end) AS until FROM (
+   SELECT log_id, pull_id, line_number, ts_ms, pull_end, 'low-boss' AS challenge_id, low AS active FROM chal_ev WHERE definition_id = 'd1'
+   UNION ALL SELECT log_id, pull_id, line_number, ts_ms, pull_end, 'armed', armed FROM chal_ev WHERE definition_id = 'd1'
+   UNION ALL SELECT log_id, pull_id, line_number, ts_ms, pull_end, 'mid-band', mid FROM chal_ev WHERE definition_id = 'd2')
+  WINDOW w AS (PARTITION BY log_id, pull_id, challenge_id ORDER BY line_number))
+) WHERE active GROUP BY log_id, pull_id, challenge_id, island""",
+    "chal_totals": """
+SELECT a.log_id, a.pull_id, a.challenge_id, a.metric, coalesce(v.value, 0) AS value, coalesce(v.event_count, 0) AS event_count,
+ CAST(CASE WHEN a.challenge_id = 'open-damage' THEN greatest(0, coalesce(b.at, a.ended_at) - a.started_at)
+  WHEN a.challenge_id = 'burn-heal' THEN coalesce(greatest(0, a.ended_at - b.at), 0)
+  WHEN a.challenge_id IN ('low-boss', 'armed', 'mid-band') THEN coalesce(i.ms, 0) ELSE greatest(0, a.ended_at - a.started_at) END AS BIGINT) AS duration_ms
+FROM chal_all a LEFT JOIN (SELECT log_id, pull_id, challenge_id, sum(value) AS value, CAST(sum(event_count) AS BIGINT) AS event_count FROM chal_players GROUP BY ALL) v USING (log_id, pull_id, challenge_id)
+LEFT JOIN (SELECT log_id, pull_id, arg_min(ts_ms, line_number) AS at FROM chal_ev WHERE definition_id = 'd1' AND n >= 2 GROUP BY ALL) b USING (log_id, pull_id)
+LEFT JOIN (SELECT log_id, pull_id, challenge_id, CAST(sum(ms) AS BIGINT) AS ms FROM chal_islands GROUP BY ALL) i USING (log_id, pull_id, challenge_id)""",
 }
 
 
+_ENCOUNTERS = ", ".join(
+    "{{'id': {0}, 'bosses': {1}, 'required': {2}, 'boss_ids': {3}, 'ids': {4}, 'zone_ids': {5}, 'zone_names': {6}, 'words': {7}}}".format(
+        _literal(e[0]),
+        *("[" + ", ".join(map(_literal, items)) + "]::VARCHAR[]" for items in (
+            e[5], e[6], e[8], [*e[8], *(o[2] for o in ROWS["observed"] if o[0] == e[0])],
+            *((op[3], op[4]) for op in ROWS["operations"] if op[0] == e[2]).__next__(),
+            [] if __import__("re").search(fixed.BOSS_DEFEAT_TEXT, e[11].lower()) else [m for m in fixed.VICTORY_MARKERS if m in e[11].lower()],
+        )),
+    )
+    for e in sorted(ROWS["encounters"], key=lambda e: e[4])
+)
+#: Score of every encounter of the list ``enc`` for the engaged ``names`` and ``ids`` in a zone, and the place of the best one.
+_SCORES = """list_transform(enc, lambda e: CASE WHEN len(list_intersect(e.bosses, names1)) = 0 AND len(list_intersect(e.ids, ids1)) = 0 THEN -1 ELSE
+ 2 * len(list_intersect(e.bosses, names1)) + CASE WHEN len(list_intersect(e.ids, ids1)) > 0 THEN 8 ELSE 0 END
+ + CASE WHEN coalesce(list_contains(e.zone_ids, zone_id1), false) THEN 6 WHEN coalesce(list_contains(e.zone_names, lower(trim(zone_name1))), false) THEN 4 ELSE 0 END END)"""
+
+#: The segmentation rule told event by event, one recursion step a line of every log.
+FULL_PULLS = f"""
+SELECT log_id, concat(CAST(started_at AS VARCHAR), '-', CAST(pull_index AS VARCHAR)) AS pull_id, pull_index, started_at, ended_at, start_line, close_line,
+ ended_at - started_at AS duration_ms, end_reason, c.ctx_zone_id AS ctx_zone_id, c.ctx_zone_name AS ctx_zone_name, c.ctx_difficulty AS ctx_difficulty,
+ c.ctx_group_size AS ctx_group_size, c.ctx_server_id AS ctx_server_id, c.local_player_id AS local_player_id
+FROM (
+ SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY start_line) AS pull_index FROM (
+  SELECT log_id, shut.start_line AS start_line, shut.started_at AS started_at, shut.ended_at AS ended_at, shut.close_line AS close_line, shut.end_reason AS end_reason, shut.c AS c, shut.hit AS hit FROM seg WHERE shut IS NOT NULL
+  UNION ALL
+  SELECT s.log_id, start_line, started_at, greatest(last_act, started_at), m.last_line + 1, 'stream-ended', c, hit
+  FROM seg s JOIN (SELECT log_id, max(rn) AS rn FROM feed GROUP BY log_id) l ON s.log_id = l.log_id AND s.rn = l.rn
+  JOIN (SELECT log_id, max(line_number) AS last_line FROM ev GROUP BY log_id) m ON m.log_id = s.log_id WHERE start_line IS NOT NULL
+ ) WHERE hit AND ended_at - started_at >= {O.min_duration_ms})"""
+
+RECURSION = {
+    "feed": f"""
+SELECT x.log_id, row_number() OVER (PARTITION BY x.log_id ORDER BY x.line_number) AS rn, x.line_number AS line, ts_ms AS ts,
+ type = 'areaEntered' AS area, coalesce(type = 'combatState' AND state = 'enter', false) AS enter, coalesce(type = 'combatState' AND state = 'exit', false) AS leaves,
+ coalesce(type IN ('damage', 'heal', 'death') OR (type = 'ability' AND phase = 'activate' AND source_kind = 'player'), false) AS acts,
+ type IN ('damage', 'heal', 'death', 'applyEffect', 'removeEffect', 'ability') AS ticks,
+ coalesce({_RAID}, false) AS struck, coalesce({_RAID} AND coalesce(effective, amount) > 0, false) AS hits,
+ type = 'death' AND coalesce(target_kind = 'npc', false) AS dies, target_npc_id AS npc_id,
+ lower(trim(target_name)) AS raw_name, lower(trim(coalesce(n.name, target_name))) AS npc_name,
+ lower(concat_ws(' ', ability_name, CASE WHEN type IN ('applyEffect', 'removeEffect') THEN effect_name END, CASE WHEN type = 'other' THEN category_name END)) AS words,
+ coalesce(g.defs, []) AS defs,
+ {{'ctx_zone_id': ctx_zone_id, 'ctx_zone_name': ctx_zone_name, 'ctx_difficulty': ctx_difficulty, 'ctx_group_size': ctx_group_size, 'ctx_server_id': ctx_server_id, 'local_player_id': local_player_id}} AS now_c
+FROM ctx x LEFT JOIN npc n ON n.npc_id = x.target_npc_id
+LEFT JOIN (SELECT log_id, line_number, list(DISTINCT definition_id) AS defs FROM triggered GROUP BY ALL) g ON g.log_id = x.log_id AND g.line_number = x.line_number
+WHERE type <> 'disciplineChanged'""",
+    "seg": f"""
+SELECT DISTINCT log_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS start_line, CAST(NULL AS BIGINT) AS started_at, CAST(NULL AS BIGINT) AS last_act, CAST(NULL AS BIGINT) AS last_closed,
+ false AS pending, []::VARCHAR[] AS names, []::VARCHAR[] AS ids, []::VARCHAR[] AS dead_names, []::VARCHAR[] AS dead_ids, false AS proven, []::VARCHAR[] AS met, CAST(NULL AS BIGINT) AS matched, false AS hit,
+ CAST(NULL AS STRUCT(ctx_zone_id VARCHAR, ctx_zone_name VARCHAR, ctx_difficulty VARCHAR, ctx_group_size INTEGER, ctx_server_id VARCHAR, local_player_id VARCHAR)) AS c,
+ CAST(NULL AS STRUCT(start_line BIGINT, started_at BIGINT, ended_at BIGINT, close_line BIGINT, end_reason VARCHAR, c STRUCT(ctx_zone_id VARCHAR, ctx_zone_name VARCHAR, ctx_difficulty VARCHAR, ctx_group_size INTEGER, ctx_server_id VARCHAR, local_player_id VARCHAR), hit BOOLEAN)) AS shut
+FROM feed
+UNION ALL
+SELECT log_id, rn, start1, began1, CASE WHEN start1 IS NULL THEN NULL WHEN adds AND ticks THEN ts ELSE act1 END, closed1, pending1,
+ names1, ids1, dead_names1, dead_ids1, proven1 OR (bound1 IS NOT NULL AND list_contains(met1, bound1)), CASE WHEN bound1 IS NULL THEN met1 ELSE [] END,
+ match1, hit1, c1, shut
+FROM (
+ SELECT *,
+  CASE WHEN adds AND matched0 IS NOT NULL THEN proven0 OR len(list_filter(enc[matched0].words, lambda w: contains(words, w))) > 0 ELSE proven0 END AS proven1,
+  CASE WHEN adds AND struck THEN list_position({_SCORES}, nullif(list_max({_SCORES}), -1)) ELSE matched0 END AS match1,
+  CASE WHEN adds AND dies THEN list_distinct(list_concat(dead_names0, [raw_name, npc_name])) ELSE dead_names0 END AS dead_names1,
+  CASE WHEN adds AND dies THEN list_distinct(list_append(dead_ids0, npc_id)) ELSE dead_ids0 END AS dead_ids1,
+  CASE WHEN adds THEN list_distinct(list_concat(met0, defs)) ELSE met0 END AS met1,
+  CASE WHEN NOT list_contains(ids1, '0') AND NOT list_contains(ids1, '1') AND NOT list_contains(ids1, '2') THEN NULL
+   WHEN NOT list_contains(ids1, '0') THEN 'd2' WHEN list_contains(ids1, '1') AND list_contains(ids1, '2') THEN 'd2'
+   WHEN NOT list_contains(ids1, '1') AND NOT list_contains(ids1, '2') THEN 'd1'
+   WHEN list_position(ids1, '0') < coalesce(list_position(ids1, '1'), list_position(ids1, '2')) THEN 'd1' ELSE 'd2' END AS bound1,
+  hit0 OR (adds AND hits) AS hit1
+ FROM (
+  SELECT *, c1.ctx_zone_id AS zone_id1, c1.ctx_zone_name AS zone_name1, start1 IS NOT NULL AND NOT area AND NOT leaves AS adds,
+   CASE WHEN start1 IS NOT NULL AND struck AND NOT list_contains(names0, npc_name) THEN list_append(names0, npc_name) ELSE names0 END AS names1,
+   CASE WHEN start1 IS NOT NULL AND struck AND NOT list_contains(ids0, npc_id) THEN list_append(ids0, npc_id) ELSE ids0 END AS ids1
+  FROM (
+   SELECT *, CASE WHEN opens THEN line ELSE start0 END AS start1, CASE WHEN opens THEN ts ELSE began0 END AS began1, CASE WHEN opens THEN ts ELSE act0 END AS act1, CASE WHEN opens THEN now_c ELSE c0 END AS c1,
+    CASE WHEN leaves THEN true WHEN acts OR area OR shut IS NOT NULL THEN false ELSE pending END AS pending1
+   FROM (
+    SELECT *, (enter OR acts) AND start0 IS NULL AND (closed1 IS NULL OR ts - closed1 >= {O.reopen_guard_ms}) AS opens FROM (
+     SELECT *, CASE WHEN ends THEN NULL ELSE start_line END AS start0, CASE WHEN ends THEN NULL ELSE started_at END AS began0, CASE WHEN ends THEN NULL ELSE last_act END AS act0,
+      CASE WHEN ends THEN last_act ELSE last_closed END AS closed1, CASE WHEN ends THEN []::VARCHAR[] ELSE names END AS names0, CASE WHEN ends THEN []::VARCHAR[] ELSE ids END AS ids0,
+      CASE WHEN ends THEN []::VARCHAR[] ELSE dead_names END AS dead_names0, CASE WHEN ends THEN []::VARCHAR[] ELSE dead_ids END AS dead_ids0, CASE WHEN ends THEN false ELSE proven END AS proven0,
+      CASE WHEN ends THEN []::VARCHAR[] ELSE met END AS met0, CASE WHEN ends THEN NULL ELSE matched END AS matched0, CASE WHEN ends THEN false ELSE hit END AS hit0, CASE WHEN ends THEN NULL ELSE c END AS c0,
+      CASE WHEN ends THEN {{'start_line': start_line, 'started_at': started_at, 'ended_at': greatest(last_act, started_at), 'close_line': line,
+       'end_reason': CASE WHEN area THEN 'stream-ended' ELSE 'sustained-silence' END, 'c': c, 'hit': hit}} END AS shut
+     FROM (
+      SELECT s.log_id, e.rn, s.start_line, s.started_at, s.last_act, s.last_closed, s.pending, s.names, s.ids, s.dead_names, s.dead_ids, s.proven, s.met, s.matched, s.hit, s.c, e.* EXCLUDE (log_id, rn), k.enc,
+       s.start_line IS NOT NULL AND (e.area OR (NOT e.leaves AND e.ts - s.last_act >= CASE
+        WHEN s.matched IS NOT NULL AND (s.proven OR CASE
+         WHEN len(k.enc[s.matched].required) > 0 THEN len(list_intersect(k.enc[s.matched].required, s.dead_names)) = len(k.enc[s.matched].required)
+          OR (len(k.enc[s.matched].required) = 1 AND len(list_intersect(k.enc[s.matched].boss_ids, s.dead_ids)) > 0)
+         ELSE len(list_intersect(k.enc[s.matched].bosses, s.dead_names)) > 0
+          OR (len(k.enc[s.matched].bosses) = 1 AND len(list_intersect(k.enc[s.matched].boss_ids, s.dead_ids)) > 0) END) THEN {O.boss_cleanup_ms}
+        WHEN s.pending THEN {O.exit_grace_ms} ELSE {O.idle_ms} END)) AS ends
+      FROM seg s JOIN feed e ON e.log_id = s.log_id AND e.rn = s.rn + 1, (SELECT [{_ENCOUNTERS}] AS enc) k
+     )))))
+)""",
+    "full_pulls": FULL_PULLS,
+}
+
+
+def full_statement(select: str) -> str:
+    """As ``statement``, with the pulls that the whole rule cuts instead of those of plain silence."""
+    first = ["ev", "ops", "op_zone_ids", "op_zone_names", "enc", "enc_boss", "enc_req", "enc_adds", "enc_boss_ids", "enc_add_ids", "enc_single", "enc_phases", "npc"]
+    first += ["observed", "abil", "offgcd", "kicks", "defs", "disc", "ctx", "triggered"]
+    tables = {n: CTES[n] for n in first} | RECURSION | {
+        "pulls": "SELECT * FROM full_pulls",
+        "sessioned": "SELECT x.*, p.pull_id, p.pull_index FROM ctx x JOIN full_pulls p ON p.log_id = x.log_id AND x.line_number >= p.start_line AND x.line_number < p.close_line",
+    }
+    tables |= {n: sql for n, sql in CTES.items() if n not in tables and n not in ("prior", "indexed")}
+    return "WITH RECURSIVE " + ",\n".join(f"{name} AS ({sql})" for name, sql in tables.items()) + "\n" + select
+
+
 def statement(select: str) -> str:
     return "WITH " + ",\n".join(f"{name} AS ({sql})" for name, sql in CTES.items()) + "\n" + select

@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fraylens.operators import abilities, deaths, effects, encounters, enemies, mechanics, metrics, segment
+from fraylens.operators import abilities, challenges, deaths, effects, encounters, enemies, mechanics, metrics, segment, victories
 from fraylens.operators.segment import PULL
 from fraylens.operators.staging import staged
 from fraylens.options import Options
@@ -29,7 +29,8 @@ class Fights:
     def pulls(self) -> DataFrame:
         if self._gap_only:
             return segment.gap_pulls(self.events, self.options)
-        return segment.segment_pulls(self.events, self.catalog, self.options)
+        hits = victories.victory_hits(segment.session_context(self.events, self.options), self.catalog.encounter_defs)
+        return segment.segment_pulls(self.events, self.catalog, self.options, hits)
 
     @cached_property
     def tagged(self) -> DataFrame:
@@ -100,7 +101,14 @@ class Fights:
 
     @cached_property
     def cleared(self) -> DataFrame:
-        return encounters.encounter_cleared(self.matches, self.dead, self.evidence, self.catalog)
+        proven = self.evidence.select(*PULL).unionByName(self.runtime_wins.select(*PULL)).distinct()
+        return encounters.encounter_cleared(self.matches, self.dead, proven, self.catalog)
+
+    @cached_property
+    def runtime_wins(self) -> DataFrame:
+        """Pulls that a definition's victory trigger won."""
+        local = self.tagged.join(self.pulls.select(*PULL, "local_player_id"), PULL)
+        return victories.runtime_wins(self.tagged, victories.victory_hits(local, self.catalog.encounter_defs), self.bindings)
 
     @cached_property
     def boss(self) -> DataFrame:
@@ -154,8 +162,17 @@ class Fights:
         joined = self.outcomes.join(first_boss, PULL, "left").join(died, PULL, "left").join(dealt, PULL, "left")
         return staged(joined.na.fill(0, ["player_deaths", "damage"]))
 
+    @cached_property
+    def bindings(self) -> DataFrame:
+        """The encounter definition of a pull, at every line that could change it."""
+        return staged(encounters.match_definitions(self.engaged, self.catalog.encounter_defs, steps=True))
+
     @cached_property
     def mechanics(self) -> DataFrame:
         """Phase, counter, timer, shield and victory records, written once."""
-        bindings = encounters.match_definitions(self.engaged, self.catalog.encounter_defs, steps=True)
-        return staged(mechanics.run_mechanics(self.tagged, self.pulls, bindings, self.catalog))
+        return staged(mechanics.run_mechanics(self.tagged, self.pulls, self.bindings, self.catalog))
+
+    @cached_property
+    def challenges(self) -> challenges.Challenges:
+        segments = mechanics.phase_segments(self.mechanics, self.pulls)
+        return challenges.Challenges(self.tagged, self.pulls, self.bindings, self.mechanics, segments, self.catalog.encounter_defs)

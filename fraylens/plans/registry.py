@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fraylens.functions import combat, text
 from fraylens.operators import (
-    abilities, accounts, deaths, effects, encounters, enemies, mechanics, metrics, quality, rollups, roster, segment,
+    abilities, accounts, deaths, effects, encounters, enemies, mechanics, metrics, quality, rollups, roster, segment, victories,
 )
 from fraylens.operators.segment import CONTEXT, PULL
 from fraylens.operators.staging import new_path
@@ -30,11 +30,13 @@ O = SCALED_OPTIONS
 RATES = ["dps", "hps", "dtps", "apm", "overheal_percent", "damage_crit_percent", "healing_crit_percent", "defense_percent", "shield_percent"]
 
 
-def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
+def register(name: str, oracle: str | None = None, full: bool = False) -> Callable[[Query], Query]:
+    """``full``: the twin reads the pulls of the whole segmentation rule."""
+
     def add(query: Query) -> Query:
         QUERIES[name] = query
         if oracle is not None:
-            ORACLES[name] = ansi.statement(oracle)
+            ORACLES[name] = (ansi.full_statement if full else ansi.statement)(oracle)
         return query
 
     return add
@@ -1215,20 +1217,32 @@ def _wire(spark, sf_dir):
 
 # Full segmentation.
 
-@register("pulls_full")
+@register(
+    "pulls_full",
+    f"SELECT log_id, start_line, started_at, ended_at, duration_ms, end_reason, {', '.join(CONTEXT)}, pull_index, pull_id FROM full_pulls",
+    full=True,
+)
 def _pulls_full(spark, sf_dir):
     return full_fights(spark, sf_dir).pulls.drop("close_line")
 
 
-@register("fights_full")
+@register(
+    "fights_full",
+    f"""SELECT {', '.join('o.' + c for c in _OUTCOME.split(', '))}, CAST(coalesce(k.n, 0) AS BIGINT) AS player_deaths, f.damage, f.remaining AS boss_remaining_percent
+FROM outcomes o JOIN fights f USING (log_id, pull_id)
+LEFT JOIN (SELECT log_id, pull_id, count(*) AS n FROM t WHERE type = 'death' AND target_kind = 'player' GROUP BY ALL) k USING (log_id, pull_id)""",
+    full=True,
+)
 def _fights_full(spark, sf_dir):
     f = full_fights(spark, sf_dir)
     return f.fights.select(*_OUTCOME.split(", "), "player_deaths", "damage", "boss_remaining_percent")
 
 
-@register("actor_rates_full")
+@register(
+    "actor_rates_full", "SELECT log_id, pull_id, actor_id, role, " + ", ".join(f"round({c}, 4) AS {c}" for c in RATES) + " FROM rated", full=True,
+)
 def _actors_full(spark, sf_dir):
-    return full_fights(spark, sf_dir).actors.select(*PULL, "actor_id", "role", *RATES)
+    return rounded(full_fights(spark, sf_dir).actors.select(*PULL, "actor_id", "role", *RATES), *RATES)
 
 
 # Streams over the event table, run over what is available.
@@ -1293,3 +1307,35 @@ def _phase_segments(f):
 )
 def _definition_match(f):
     return encounters.match_definitions(f.engaged, f.catalog.encounter_defs)
+
+
+@on_gaps(
+    "challenge_totals",
+    """SELECT log_id, pull_id, challenge_id, metric, CAST(value AS BIGINT) AS value, event_count, duration_ms,
+ CASE WHEN duration_ms > 0 THEN round(value / (duration_ms / 1000), 4) END AS per_second FROM chal_totals""",
+)
+def _challenge_totals(f):
+    kept = f.challenges.totals.withColumn("value", F.col("value").cast("bigint"))
+    return rounded(kept.select(*PULL, "challenge_id", "metric", "value", "event_count", "duration_ms", "per_second"), "per_second")
+
+
+@on_gaps(
+    "challenge_players",
+    """SELECT p.log_id, p.pull_id, p.challenge_id, player_id, player_name, CAST(p.value AS BIGINT) AS value,
+ CASE WHEN t.value > 0 THEN round(p.value / t.value * 100, 4) ELSE 0 END AS percent,
+ CASE WHEN duration_ms > 0 THEN round(p.value / (duration_ms / 1000), 4) END AS per_second
+FROM chal_players p JOIN chal_totals t USING (log_id, pull_id, challenge_id)""",
+)
+def _challenge_players(f):
+    return rounded(f.challenges.players.withColumn("value", F.col("value").cast("bigint")), "percent", "per_second")
+
+
+@register("victory_hits", "SELECT log_id, line_number, list_sort(list(DISTINCT definition_id)) AS victory_of FROM triggered GROUP BY ALL")
+def _victory_hits(spark, sf_dir):
+    events = segment.session_context(combat_events(spark, sf_dir), O)
+    return victories.victory_hits(events, sample_catalog(spark).encounter_defs)
+
+
+@on_gaps("runtime_wins", "SELECT log_id, pull_id FROM def_won")
+def _runtime_wins(f):
+    return f.runtime_wins.select(*PULL)

@@ -13,6 +13,10 @@ def _phase(order, name, trigger, death=None):
     return (None, order, name, "", trigger, death)
 
 
+def _challenge(id_, metric, *conditions, enabled=True, difficulties=()):
+    return {"id": id_, "name": id_.title(), "metric": metric, "enabled": enabled, "difficulties": list(difficulties), "conditions": list(conditions)}
+
+
 ROWS = {
     "operations": [
         ("opa", "Alpha Station", "North", ["z0"], ["zone 0"], False, ["Story", "Veteran"], [4, 8]),
@@ -47,17 +51,39 @@ ROWS = {
     "encounter_defs": [
         ("d1", "Gate Keeper", ["0"], json.dumps({
             "entityNpcIds": {},
+            "victoryTrigger": {"kind": "anyOf", "conditions": [
+                {"kind": "effectApplied", "effects": [{"id": "4"}], "source": {"kind": "player"}}, {"kind": "entityDeath", "selector": [{"id": "7"}]},
+            ]},
             "phases": [
                 {"id": "open", "order": 1, "name": "Opening", "startTrigger": {"kind": "combatStart"}},
                 {"id": "burn", "order": 2, "name": "Burn", "startTrigger": {"kind": "counterReaches", "counterId": "hits", "value": 2}, "resetsCounters": ["hits"]},
             ],
             "counters": [{"id": "hits", "name": "Hits", "incrementOn": {"kind": "damageDealt", "abilities": [], "source": {"kind": "player"}}}],
             "timers": [{"id": "t", "name": "T", "trigger": {"kind": "phaseEntered", "phaseId": "burn"}, "durationMs": 1_800_000, "enabled": True, "canRefresh": False}],
+            "challenges": [
+                _challenge("open-damage", "damage", {"type": "phase", "phase_ids": ["open"]}, {"type": "source", "match": "any_player"}),
+                _challenge("burn-heal", "effective_healing", {"type": "phase", "phase_ids": ["burn"]}),
+                _challenge("low-boss", "damage", {"type": "boss_hp_range", "npc_id": 0, "max_hp": 50}, {"type": "target", "match": "boss"}),
+                _challenge("armed", "damage_taken", {"type": "counter", "counter_id": "hits", "operator": "lte", "value": 3}),
+                _challenge("kicks", "interrupt_count"),
+                _challenge("off", "damage", enabled=False),
+            ],
         })),
         ("d2", "Twin Lords", ["1", "2"], json.dumps({
+            "victoryTrigger": {"kind": "bossHpBelow", "percent": 3, "selector": [{"id": "1"}, {"name": "Npc 2"}]},
             "phases": [{"id": "all", "order": 1, "name": "All", "startTrigger": {"kind": "combatStart"}}],
             "shields": [{"id": "s", "targetNpcIds": ["1", "2"], "hp": [{"total": 900, "difficulties": []}],
                          "startTrigger": {"kind": "npcAppears", "selector": [{"id": "1"}, {"id": "2"}]}, "endTrigger": {"kind": "entityDeath", "selector": [{"id": "1"}]}}],
+            "entityNpcIds": {"crew": ["5"]},
+            "challenges": [
+                _challenge("casts", "ability_count", {"type": "target", "match": "any_player"}, {"type": "ability", "ability_ids": ["2", "3", 4]}),
+                _challenge("marks", "effect_count", {"type": "effect", "effect_ids": ["0", "2"]}, {"type": "source", "match": "any_except_local"}),
+                _challenge("stacks", "effect_stacks", {"type": "effect", "effect_ids": ["1", "3", "5"]}),
+                _challenge("soaked", "damage_absorbed", {"type": "target", "match": {"selector": ["npc 2", 1, "crew"]}}),
+                _challenge("mid-band", "healing", {"type": "boss_hp_range", "min_hp": 30, "max_hp": 60}),
+                _challenge("mended", "healing_taken", {"type": "target", "match": "other_players"}, difficulties=["Story", "Veteran"]),
+                _challenge("focus", "damage", {"type": "target", "match": "current_target"}),
+            ],
         })),
     ],
     "defensives": [("Ward", "0", "self"), ("Iron Skin", None, "absorb"), ("Guard", "5", "external")],
