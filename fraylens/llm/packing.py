@@ -55,7 +55,7 @@ class _WordIds(dict):
         if len(self) > _WORDS_KEPT:
             self.older = dict(self)
             self.clear()
-        self._know({w for words in texts for w in words if w not in self})
+        self._know(set().union(*texts) - self.keys())
         get = self.__getitem__
         return [b"".join(map(get, words)) for words in texts]
 
@@ -93,9 +93,31 @@ class _WordIds(dict):
             last = cut
 
 
-def _folded(text: bytes) -> bytes:
-    """ASCII case is lost to the vocabulary anyway, unless it could make up a special token."""
-    return text if b"<|" in text else text.lower()
+def _folded(text: bytes) -> list[bytes]:
+    """Words of a text without ASCII capitals, where these are lost to the vocabulary anyway.
+
+    They are not in what could be a special token, nor before a combining mark (lead
+    byte 0xCC or 0xCD): the vocabulary composes letters and marks before it
+    lower-cases, and some marks compose with the small letter alone.
+    """
+    if b"<|" in text:
+        return text.split()
+    if b"\xcc" in text or b"\xcd" in text:
+        return [w if b"\xcc" in w or b"\xcd" in w else w.lower() for w in text.split()]
+    return text.lower().split()
+
+
+#: Texts in which the parts that are looked up apart meet.
+_PROBES = ["Alpha beta, gamma; delta.", "Ünder über! x_1 (y) 3.14\tA\n b", "e\u0301 J\u030c ja?"]
+
+
+def _checked(words: _WordIds) -> _WordIds:
+    """Refuses a vocabulary whose tokens span words, or letters and the marks behind them, or keep ASCII capitals apart."""
+    for text in _PROBES:
+        whole = np.array(words.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if words.of([_folded(text.encode())])[0] != whole:
+            raise ValueError("this vocabulary does not encode words apart from each other and without regard to ASCII case")
+    return words
 
 
 _TOKENIZERS: dict[str, _WordIds] = {}
@@ -106,11 +128,11 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches):
-        words = _TOKENIZERS.get(tokenizer) or _TOKENIZERS.setdefault(tokenizer, _WordIds(tokenizer))
+        words = _TOKENIZERS.get(tokenizer) or _TOKENIZERS.setdefault(tokenizer, _checked(_WordIds(tokenizer)))
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for at in range(0, len(ids), 256):  # a few documents at a time: their words are in memory at once
-                split = [_folded(t).split() for t in texts.slice(at, 256).to_pylist()]
+                split = [_folded(t) for t in texts.slice(at, 256).to_pylist()]
                 rows = []
                 for doc, got in zip(ids[at : at + 256], words.of(split), strict=True):
                     data = got + end
@@ -225,6 +247,39 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY, rate: float = 0.4
     return Packing([(n, dict(key)) for key, n in taken.items()])
 
 
+def best_fit_decreasing(histogram: dict[int, int], capacity: int = CAPACITY) -> Packing:
+    """Best-fit decreasing over the histogram: pieces of a length go to the sequences with the least room that suffices, many at once."""
+    groups: dict[int, list[tuple[tuple, int]]] = {capacity: []}  # by room: configurations and their sequences
+
+    def put(room: int, config: tuple, n: int) -> None:
+        if n:
+            groups.setdefault(room, []).append((config, n))
+
+    for length in sorted((n for n in histogram if n > 0), reverse=True):
+        left = histogram[length]
+        for room in sorted(r for r in groups if length <= r < capacity):
+            if not left:
+                break
+            for config, n in groups.pop(room):
+                each = room // length
+                full = min(n, left // each)
+                rest = left - full * each if full < n else 0
+                put(room - each * length, (*config, (length, each)), full)
+                put(room - rest * length, (*config, (length, rest)) if rest else config, min(1, rest))
+                put(room, config, n - full - min(1, rest))
+                left -= full * each + rest
+        each = capacity // length
+        put(capacity - each * length, ((length, each),), left // each)
+        rest = left % each
+        put(capacity - rest * length, ((length, rest),), min(1, rest))
+    return Packing([(n, dict(config)) for found in groups.values() for config, n in found])
+
+
+def fewest(histogram: dict[int, int], capacity: int = CAPACITY) -> Packing:
+    """The program's packing, or that of best-fit decreasing where it takes fewer sequences."""
+    return min(solve(histogram, capacity), best_fit_decreasing(histogram, capacity), key=lambda p: sum(n for n, _ in p.configurations))
+
+
 def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """The pieces of ``docs`` with sequence_id and offset."""
     parts = staged(pieces(docs, tokenizer, capacity))
@@ -233,7 +288,7 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
     bucketed = parts.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
     counts = staged(bucketed.groupBy("length", "bucket").agg(F.count("*").alias("n")))
     histogram = {int(r["length"]): int(r["n"]) for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
-    first, copies, sequence, offset = solve(histogram, capacity).ranges()
+    first, copies, sequence, offset = fewest(histogram, capacity).ranges()
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")

@@ -434,3 +434,45 @@ def test_mixing_budgets_and_prefixes(docs, rows, none):
     expected = Counter((r[0], *k, e, n_tokens(r)) for r, k, e in plain_mixed(rows, mix))
     assert as_set(got.select("row.doc_id", "mix_.*").collect()) == expected
     assert mixing.mixed(none, mix).count() == 0
+
+
+def test_packing_ids_of_marks_behind_capitals(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    rng = np.random.default_rng(8)
+    marks = ["\u030c", "\u0331", "\u0308", "\u030a", "\u0301", "", "", "é", "ß", ".", "<|", "Ä"]
+    texts = ["".join(f"{c}{m}" for c, m in [("J", marks[0]), ("H", marks[1]), ("T", marks[2]), ("W", marks[3]), ("Y", marks[3])])]
+    texts += ["".join(rng.choice(list("JHTWYabz A  "), 1)[0] + rng.choice(marks, 1)[0] for _ in range(12)) for _ in range(1500)]
+    got = packing.pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tokenizer_path()).collect()
+    found = {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in got}
+    for i, text in enumerate(texts):
+        ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        assert found[i] == (len(ids), zlib.crc32(ids.tobytes())), text
+
+
+def test_packing_is_never_behind_best_fit_decreasing():
+    def plain(pieces):
+        rooms = []
+        for n in sorted(pieces, reverse=True):
+            fit = min((r for r in rooms if r >= n), default=None)
+            if fit is not None:
+                rooms.remove(fit)
+            rooms.append((packing.CAPACITY if fit is None else fit) - n)
+        return len(rooms)
+
+    rng = np.random.default_rng(4)
+    histograms = [
+        Counter(rng.integers(1, 2049, 1500).tolist()), Counter(rng.choice([600, 700, 900, 1100, 1300], 1500).tolist()),
+        Counter((rng.choice([1024, 683, 512], 1200) + rng.integers(-30, 31, 1200)).tolist()), Counter(rng.geometric(0.01, 3000).clip(1, 2048).tolist()), Counter([2048] * 5 + [1] * 7),
+    ]
+    for histogram in histograms:
+        simple = packing.best_fit_decreasing(histogram)
+        for made in (simple, packing.fewest(histogram)):
+            placed = Counter()
+            for n, config in made.configurations:
+                assert sum(k * c for k, c in config.items()) <= packing.CAPACITY
+                placed.update({k: n * c for k, c in config.items()})
+            assert placed == histogram
+        assert sum(n for n, _ in simple.configurations) == plain(histogram.elements())
+        assert sum(n for n, _ in packing.fewest(histogram).configurations) <= plain(histogram.elements())
