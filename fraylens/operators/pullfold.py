@@ -173,15 +173,18 @@ class PullFold:
             return False
         return self._evidence or self._matcher.cleared(self._match, self._dead_names, self._dead_ids)
 
-    def expire(self, line: int | None, now: int) -> Closed | None:
-        if self.open is None:
-            return None
-        options = self._options
+    def _limit(self) -> int:
+        """The silence that ends the open pull as things stand."""
         if self.victory():
-            limit = options.boss_cleanup_ms
-        else:
-            limit = options.exit_grace_ms if self.exit_pending else options.idle_ms
-        if now - self.last_activity < limit:
+            return self._options.boss_cleanup_ms
+        return self._options.exit_grace_ms if self.exit_pending else self._options.idle_ms
+
+    def silence_left(self, now: int) -> int | None:
+        """How much longer the open pull may stay silent after ``now``."""
+        return None if self.open is None else max(0, self._limit() - (now - self.last_activity))
+
+    def expire(self, line: int | None, now: int) -> Closed | None:
+        if self.open is None or now - self.last_activity < self._limit():
             return None
         self.exit_pending = False
         return self._finish(line, "sustained-silence")

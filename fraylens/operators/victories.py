@@ -129,28 +129,45 @@ def _placed(c: Column) -> Column:
     return F.coalesce(compared(on, c["operator"], c["value"]), F.lit(False))
 
 
+#: Signal of the row that every event keeps when it is met with the rules.
+_SELF = "."
+
+
+def with_hits(events: DataFrame, encounter_defs: DataFrame) -> DataFrame:
+    """Every event once with a null ``hit``, and once more for each definition (``hit``) whose trigger a signal of it meets.
+
+    No aggregate, so it also works on a stream. ``events`` need ``local_player_id``.
+    """
+    columns = events.columns
+    rules = trigger_rows(encounter_defs).withColumnsRenamed({"source": "source_filter", "target": "target_filter", "mitigation": "avoid", "threat": "moves"})
+    keyed = F.flatten(F.transform(_signals(), lambda s: F.filter(F.array(*[
+        F.when(k.isNotNull(), F.struct(s["signal"].alias("signal"), k.alias("key"), s["percent"].alias("percent")))
+        for k in (F.concat(F.lit("id:"), s["id"]), F.concat(F.lit("name:"), s["name"]), F.lit("*"))
+    ]), lambda k: k.isNotNull())))
+    own = F.array(F.struct(F.lit(_SELF).alias("signal"), F.lit("").alias("key"), F.lit(None).cast("double").alias("percent")))
+    told = events.withColumn("__told", F.explode(F.concat(own, keyed))).select(*columns, "__told.*")
+    met = told.join(rules, ["signal", "key"], "left")
+    fits = (
+        F.col("definition_id").isNotNull() & _suits("source") & _suits("target")
+        & ((F.size("avoid") == 0) | F.coalesce(F.array_contains("avoid", F.col("mitigation")), F.lit(False)))
+        & (F.col("moves").isNull() | F.coalesce(F.col("moves") == F.col("threat"), F.lit(False)))
+        & (F.col("low").isNull() | (F.col("percent") >= F.col("low"))) & (F.col("high").isNull() | (F.col("percent") <= F.col("high")))
+        & F.forall("position", _placed)
+    )
+    return met.where((F.col("signal") == _SELF) | fits).select(*columns, F.col("definition_id").alias("hit"))
+
+
 def victory_hits(events: DataFrame, encounter_defs: DataFrame) -> DataFrame:
     """(log_id, line_number, victory_of): definitions whose victory trigger an event meets.
 
     ``events`` need ``local_player_id`` (``segment.session_context``).
     """
-    rules = trigger_rows(encounter_defs).withColumnsRenamed({"source": "source_filter", "target": "target_filter"})
     columns = [
-        "log_id", "line_number", "local_player_id", "mitigation", "threat",
-        *[f"{s}_{c}" for s in ("source", "target") for c in ("kind", "id", "npc_id", "name", "pos")],
+        "log_id", "line_number", "type", "phase", "state", "local_player_id", "mitigation", "threat", "ability_id", "ability_name", "effect_id", "effect_name",
+        "target_hp", "target_max_hp", *[f"{s}_{c}" for s in ("source", "target") for c in ("kind", "id", "npc_id", "name", "pos")],
     ]
-    told = events.select(*columns, F.explode(_signals()).alias("s"))
-    keys = F.array(F.concat(F.lit("id:"), "s.id"), F.concat(F.lit("name:"), "s.name"), F.lit("*"))
-    met = told.withColumnsRenamed({"mitigation": "avoided", "threat": "moved"}).withColumn("signal", F.col("s.signal")).withColumn(
-        "key", F.explode(F.filter(keys, lambda k: k.isNotNull()))
-    ).join(rules, ["signal", "key"])
-    fits = (
-        _suits("source") & _suits("target") & ((F.size("mitigation") == 0) | F.coalesce(F.array_contains("mitigation", F.col("avoided")), F.lit(False)))
-        & (F.col("threat").isNull() | F.coalesce(F.col("threat") == F.col("moved"), F.lit(False)))
-        & (F.col("low").isNull() | (F.col("s.percent") >= F.col("low"))) & (F.col("high").isNull() | (F.col("s.percent") <= F.col("high")))
-        & F.forall("position", _placed)
-    )
-    return met.where(fits).groupBy("log_id", "line_number").agg(F.sort_array(F.collect_set("definition_id")).alias("victory_of"))
+    met = with_hits(events.select(*columns), encounter_defs).where("hit IS NOT NULL")
+    return met.groupBy("log_id", "line_number").agg(F.sort_array(F.collect_set("hit")).alias("victory_of"))
 
 
 def runtime_wins(tagged: DataFrame, hits: DataFrame, bindings: DataFrame) -> DataFrame:

@@ -12,14 +12,14 @@ from fraylens.operators import (
     abilities, accounts, deaths, effects, encounters, enemies, mechanics, metrics, quality, rollups, roster, segment, victories,
 )
 from fraylens.operators.segment import CONTEXT, PULL
-from fraylens.operators.staging import new_path
+from fraylens.operators.staging import new_path, staged
 from fraylens.plans import ansi
 from fraylens.plans.fights import Fights
 from fraylens.sources import catalog as catalogs
 from fraylens.sources import parse, sinks, wire
 from fraylens.sources.sample_catalog import sample_catalog
 from fraylens.sources.tables import SCALED_OPTIONS, combat_events, project_combat, read_table
-from fraylens.streaming import live
+from fraylens.streaming import announcer, arrivals, live, publish
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -1250,7 +1250,7 @@ def _actors_full(spark, sf_dir):
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = read_table(spark, sf_dir, "events").schema
     # A glob, because a file source takes a directory or a pattern and the table may be either.
-    raw = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(f"{sf_dir}/events.parquet*")
     return project_combat(raw)
 
 
@@ -1286,6 +1286,38 @@ def _stream_dedup(spark, sf_dir):
     return live.run_available(live.dedup_batches(sent, "30 days")).select("session_id", "sequence")
 
 
+def arriving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with the place at which they arrive: every seventh one is held up."""
+    held_up = F.col("line_number") + F.when(F.col("line_number") % 7 == 0, 900).otherwise(0)
+    return combat_events(spark, sf_dir).select(F.col("log_id").alias("session_id"), "line_number", held_up.alias("arrival"), "ts_ms")
+
+
+def thirds(df: DataFrame, column: str) -> list[DataFrame]:
+    """The rows in three parts, in order of ``column``."""
+    low, high = df.select(F.percentile_approx(column, [0.33, 0.67]).alias("q")).first()["q"] or (0, 0)
+    at = F.col(column)
+    return [df.where(at <= low), df.where((at > low) & (at <= high)), df.where(at > high)]
+
+
+@register(
+    "stream_late",
+    """SELECT CAST(log_id AS VARCHAR) AS session_id, line_number, arrival, ts_ms, peak - ts_ms AS behind_ms FROM (
+ SELECT *, max(ts_ms) OVER (PARTITION BY log_id ORDER BY arrival, line_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS peak FROM (
+  SELECT log_id, line_number, ts_ms, line_number + CASE WHEN line_number % 7 = 0 THEN 900 ELSE 0 END AS arrival FROM ev)) WHERE ts_ms < peak - 1800000""",
+)
+def _stream_late(spark, sf_dir):
+    told = publish.landed(thirds(staged(arriving(spark, sf_dir)), "arrival"), lambda s: arrivals.split_late(s, 1_800_000))
+    return told.where("late").drop("late")
+
+
+@register("stream_announcements", f"""SELECT * FROM (SELECT log_id, pull_id, guild_id, encounter_id, attempts, kills, round(best, 4) AS previous_best,
+ CASE WHEN outcome = 'kill' THEN CASE WHEN kills = 1 THEN 'firstKill' ELSE 'kill' END
+  WHEN remaining IS NOT NULL AND (best IS NULL OR remaining < best) AND remaining <= 15 THEN 'closeWipe' END AS kind FROM ({_MARKED})) WHERE kind IS NOT NULL""")
+def _stream_announcements(spark, sf_dir):
+    fights = staged(of_guilds(gap_fights(spark, sf_dir).fights).select("guild_id", "encounter_id", "boss_instance_id", *announcer.FIGHT))
+    return rounded(publish.landed(thirds(fights, "started_at"), lambda s: announcer.live_announcements(s, O)), "previous_best")
+
+
 # Encounter mechanics.
 
 @on_gaps("encounter_runtime")

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from fraylens.functions import combat
+from fraylens.operators import victories
 from fraylens.operators.pullfold import Closed, EncounterMatcher, PullFold, Step
 from fraylens.operators.staging import shared_folder
 from fraylens.options import Options
@@ -39,24 +40,27 @@ class _Session:
     context: list = field(default_factory=lambda: [None] * 6)
     actors: dict = field(default_factory=dict)
     last_event: int = 0
+    last_batch: int = 0  # processing time
 
 
 class LiveSessions(StatefulProcessor):
     """Closes pulls as silence falls and reports every open one after each micro-batch.
 
     Rows of a session are taken in line order within a micro-batch; the trigger
-    bounds how many there are.  A pull with nothing after it is closed by a
-    processing-time timer that moves the log's own clock on by the quiet time.
+    bounds how many there are.  Two processing-time timers watch a quiet session, on
+    the log's own clock moved on by the quiet time: one closes the pull after the silence
+    that ends it as things stand, the other drops the session after ``reap_ms``.
+    Zone, server and local player outlive a pull, not the session.
     """
 
-    def __init__(self, encounters: list[dict], options: Options, quiet_timers: bool, reap_ms: int = 300_000):
-        self._encounters, self._options = encounters, options
+    def __init__(self, encounters: list[dict], options: Options, quiet_timers: bool, reap_ms: int = 300_000, definitions: list[dict] | None = None):
+        self._encounters, self._options, self._definitions = encounters, options, definitions or []
         self._quiet_timers, self._reap_ms = quiet_timers, reap_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
         self._state = handle.getValueState("session", "blob binary")
-        self._matcher = EncounterMatcher(self._encounters)
+        self._matcher = EncounterMatcher(self._encounters, self._definitions)
 
     def _load(self) -> _Session:
         if not self._state.exists():
@@ -72,30 +76,43 @@ class LiveSessions(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         session, out = self._load(), []
-        batch = pd.concat(list(rows)).sort_values("line_number")
+        batch = pd.concat(list(rows)).sort_values(["line_number", "hit"], na_position="first")
+        held, hits = None, []  # an event's row comes first, then a row a definition whose trigger it meets
         for row in batch.itertuples(index=False):
-            self._event(key[0], session, row, out)
+            if _none(row.hit) is not None:
+                hits.append(row.hit)
+                continue
+            if held is not None:
+                self._event(key[0], session, held, hits, out)
+            held, hits = row, []
+        if held is not None:
+            self._event(key[0], session, held, hits, out)
         out += self._snapshot(key[0], session, session.last_event)
-        self._save(session)
         if self._quiet_timers:
-            self._schedule(timerValues)
+            session.last_batch = timerValues.getCurrentProcessingTimeInMs()
+            self._schedule(session, session.last_batch)
+        self._save(session)
         yield pd.DataFrame(out, columns=_COLUMNS)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        session, out = self._load(), []
-        longest = self._options.longest_silence_ms
-        closed = session.fold.expire(None, session.last_event + longest)
+        session, out, at = self._load(), [], expiredTimerInfo.getExpiryTimeInMs()
+        closed = session.fold.expire(None, session.last_event + at - session.last_batch)
         self._close(key[0], session, closed, out)
-        self._state.clear()
+        if at - session.last_batch >= self._reap_ms:
+            self._state.clear()
+        else:
+            self._save(session)
         yield pd.DataFrame(out, columns=_COLUMNS)
 
-    def _schedule(self, timer_values) -> None:
+    def _schedule(self, session: _Session, now: int) -> None:
         for timer in list(self._handle.listTimers()):
             self._handle.deleteTimer(timer)
-        wait = max(self._reap_ms, self._options.longest_silence_ms)
-        self._handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + wait)
+        silence = session.fold.silence_left(session.last_event)
+        if silence is not None and silence < self._reap_ms:
+            self._handle.registerTimer(now + max(1, silence))
+        self._handle.registerTimer(now + self._reap_ms)
 
-    def _event(self, session_id: str, session: _Session, row, out: list) -> None:
+    def _event(self, session_id: str, session: _Session, row, hits: list[str], out: list) -> None:
         if row.type == "disciplineChanged":
             return
         if row.type in ("areaEntered", "combatState") and session.context[5] is None and row.source_kind == "player":
@@ -110,7 +127,7 @@ class LiveSessions(StatefulProcessor):
             activity=(row.line_number, row.ts_ms) if row.is_activity else None, clock_ts=row.ts_ms if row.is_clock else None,
             engaged=[(row.target_npc_id, row.canonical)] if is_hit else [],
             died=(row.target_npc_id, row.target_name, row.canonical) if row.type == "death" and row.target_kind == "npc" else None,
-            text=row.text or None, hit=is_hit and (applied or 0) > 0, context=tuple(session.context), zone=tuple(session.context[:2]),
+            text=row.text or None, victory_of=hits, hit=is_hit and (applied or 0) > 0, context=tuple(session.context), zone=tuple(session.context[:2]),
         )
         was_open = session.fold.open
         self._close(session_id, session, session.fold.push(step), out)
@@ -173,8 +190,11 @@ def _none(value):
 
 def _prepared(events: DataFrame, catalog: Catalog, session: Column) -> DataFrame:
     names = catalog.npc_catalog.select(F.col("npc_id").alias("target_npc_id"), F.col("name").alias("__name"))
-    joined = events.join(names, "target_npc_id", "left")
+    # who the local player is cannot be told without state, so triggers on them are not met here
+    met = victories.with_hits(events.withColumn("local_player_id", F.lit(None).cast("string")), catalog.encounter_defs)
+    joined = met.join(names, "target_npc_id", "left")
     return joined.select(
+        "hit",
         session.cast("string").alias("session_id"), "line_number", "ts_ms", "type", "source_kind", "source_id", "source_name",
         "target_kind", "target_id", "target_name", "target_npc_id", "zone_id", "zone_name", "difficulty", "group_size", "server_id",
         combat.applied().cast("double").alias("applied"), combat.is_clock().alias("is_clock"), combat.is_activity().alias("is_activity"),
@@ -193,7 +213,7 @@ def live_pulls(
     run (``availableNow``) has to do without, since it would wait for its timers.
     """
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-    processor = LiveSessions(catalog.encounter_index(), options, quiet_timers)
+    processor = LiveSessions(catalog.encounter_index(), options, quiet_timers, definitions=catalog.definition_index())
     return _prepared(events, catalog, session).groupBy("session_id").transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=LIVE_SCHEMA, outputMode="Append",
         timeMode="ProcessingTime" if quiet_timers else "None",
