@@ -423,6 +423,10 @@ SELECT t.*, definition_id, from_line, p.local_player_id AS me, p.ctx_difficulty
  last_value(CASE WHEN type = 'target' AND source_id = p.local_player_id THEN CASE WHEN state = 'cleared' THEN '' ELSE target_id END END IGNORE NULLS) OVER w AS aim
 FROM t JOIN def_bound b USING (log_id, pull_id) JOIN pulls p USING (log_id, pull_id)
 WINDOW w AS (PARTITION BY t.log_id, t.pull_id ORDER BY t.line_number)""",
+    # The phase of the definition: opening, burn after two hits of players, and the single phase of the other one when it takes over.
+    "def_phased": """
+SELECT *, CAST(CASE WHEN from_line >= 0 AND line_number >= from_line THEN CASE WHEN n_over >= 2 THEN 2 ELSE 1 END WHEN definition_id = 'd1' OR from_line >= 0 THEN CASE WHEN n >= 2 THEN 1 ELSE 0 END ELSE 0 END AS INTEGER) AS segment_index
+FROM (SELECT *, max(n) FILTER (line_number <= from_line) OVER (PARTITION BY log_id, pull_id) AS n_over FROM chal_state)""",
     "chal_ev": """
 SELECT *, n < 2 AS opening, CASE WHEN n < 2 THEN n ELSE n - 2 END <= 3 AS armed, coalesce(hp0 <= 50, false) AS low,
  coalesce(hp1 BETWEEN 30 AND 60, false) OR coalesce(hp2 BETWEEN 30 AND 60, false) AS mid FROM chal_state WHERE line_number > from_line""",

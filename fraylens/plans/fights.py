@@ -172,6 +172,11 @@ class Fights:
         """Phase, counter, timer, shield and victory records, written once."""
         return staged(mechanics.run_mechanics(self.tagged, self.pulls, self.bindings, self.catalog))
 
+    @cached_property
+    def definition_phased(self) -> DataFrame:
+        """Events with the phase of the pull's definition."""
+        return effects.phase_tagged(self.tagged, mechanics.phase_entries(self.mechanics))
+
     @cached_property
     def challenges(self) -> challenges.Challenges:
         segments = mechanics.phase_segments(self.mechanics, self.pulls)

@@ -1371,3 +1371,56 @@ def _victory_hits(spark, sf_dir):
 @on_gaps("runtime_wins", "SELECT log_id, pull_id FROM def_won")
 def _runtime_wins(f):
     return f.runtime_wins.select(*PULL)
+
+
+# Metrics by the phases of definitions.
+
+@on_gaps(
+    "definition_phase_actors",
+    """SELECT log_id, pull_id, segment_index, actor_id, CAST(sum(d) AS BIGINT) AS damage, CAST(sum(h) AS BIGINT) AS healing, CAST(sum(x) AS BIGINT) AS damage_taken,
+ CAST(sum(n) AS BIGINT) AS actions, CAST(sum(k) AS BIGINT) AS interrupts, CAST(sum(f) AS BIGINT) AS deaths FROM (
+ SELECT log_id, pull_id, segment_index, source_id AS actor_id, CASE WHEN type = 'damage' THEN ap ELSE 0 END AS d, CASE WHEN type = 'heal' THEN ap ELSE 0 END AS h, 0 AS x,
+  CASE WHEN type = 'ability' AND phase = 'activate' THEN 1 ELSE 0 END AS n, CASE WHEN type = 'ability' AND phase = 'interrupt' THEN 1 ELSE 0 END AS k, 0 AS f
+ FROM def_phased WHERE source_kind = 'player' AND ((type = 'damage' AND target_kind = 'npc') OR type = 'heal'
+  OR (type = 'ability' AND ability_id IS NOT NULL AND (phase = 'activate' OR (phase = 'interrupt' AND ability_id IN (SELECT ability_id FROM kicks)))))
+ UNION ALL SELECT log_id, pull_id, segment_index, target_id, 0, 0, CASE WHEN type = 'damage' THEN ap ELSE 0 END, 0, 0, CASE WHEN type = 'death' THEN 1 ELSE 0 END
+ FROM def_phased WHERE target_kind = 'player' AND type IN ('damage', 'death')) GROUP BY ALL""",
+)
+def _definition_phase_actors(f):
+    by_phase = [*PULL, "segment_index"]
+    flagged = metrics.with_ability_flags(f.definition_phased, f.catalog.off_gcd, f.catalog.interrupts)
+    found = metrics.totals(metrics.contributions(flagged, by_phase), by_phase, whole=True)
+    return found.select(*by_phase, "actor_id", "damage", "healing", "damage_taken", "actions", "interrupts", "deaths")
+
+
+@on_gaps(
+    "definition_phase_enemies",
+    """SELECT log_id, pull_id, segment_index, target_id AS instance_id, source_id AS player_id, CAST(sum(ap) AS BIGINT) AS damage, count(*) FILTER (amount > 0) AS damage_hits
+FROM def_phased WHERE type = 'damage' AND source_kind = 'player' AND target_kind = 'npc' GROUP BY ALL""",
+)
+def _definition_phase_enemies(f):
+    by_phase = [*PULL, "segment_index"]
+    found = enemies.enemy_players(enemies.enemy_contributions(f.definition_phased, by_phase), by_phase, whole=True)
+    return found.select(*by_phase, "instance_id", "player_id", "damage", "damage_hits")
+
+
+@on_gaps(
+    "definition_phase_abilities",
+    """SELECT log_id, pull_id, segment_index, ability_id, source_id AS player_id, count(*) FILTER (type = 'ability') AS casts,
+ CAST(sum(CASE WHEN type = 'damage' AND amount > 0 THEN ap ELSE 0 END) AS BIGINT) AS damage
+FROM def_phased WHERE ((type = 'ability' AND phase = 'activate') OR type = 'damage') AND ability_id IS NOT NULL AND source_kind = 'player' GROUP BY ALL""",
+)
+def _definition_phase_abilities(f):
+    by = [*PULL, "segment_index", "ability_id", "player_id"]
+    found = abilities.usage(abilities.ability_rows(f.definition_phased, [*PULL, "segment_index"]), by, whole=True)
+    return found.select(*by, "casts", "damage")
+
+
+@on_gaps(
+    "definition_phases",
+    """SELECT log_id, pull_id, segment_index, CASE WHEN definition_id = 'd2' AND (from_line < 0 OR line_number >= from_line) THEN 'all' WHEN segment_index = 0 THEN 'open' ELSE 'burn' END AS phase_id, count(*) AS events
+FROM def_phased GROUP BY ALL""",
+)
+def _definition_phases(f):
+    named = mechanics.phase_entries(f.mechanics).select(*PULL, F.col("phase_order").alias("segment_index"), "phase_id")
+    return f.definition_phased.groupBy(*PULL, "segment_index").agg(F.count("*").alias("events")).join(named, [*PULL, "segment_index"])
