@@ -169,7 +169,7 @@ class Fights:
 
     @cached_property
     def mechanics(self) -> DataFrame:
-        """Phase, counter, timer, shield and victory records, written once."""
+        """Phase, counter, timer, shield and victory records, and the counters and the phase as they stand after a line; written once."""
         return staged(mechanics.run_mechanics(self.tagged, self.pulls, self.bindings, self.catalog))
 
     @cached_property

@@ -1322,7 +1322,7 @@ def _stream_announcements(spark, sf_dir):
 
 @on_gaps("encounter_runtime")
 def _runtime(f):
-    return f.mechanics
+    return f.mechanics.where("record NOT IN ('level', 'stage')")
 
 
 @on_gaps("phase_segments")
