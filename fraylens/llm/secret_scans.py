@@ -47,31 +47,64 @@ RULES = [
 ]
 RULE_VERSION = 1
 
+#: Characters of a page when a text is masked.
+PAGE = 1024
+
 LEDGER = "blob string, rule_version int, found array<struct<start:int,stop:int,rank:int,kind:string>>"
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is named."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _in_blocks(items: Column) -> Column:
+    """The array cut into about as many runs as a run has items, so that appending inside and over runs stays cheap."""
+    side = F.ceil(F.sqrt(F.size(items))).cast("int")
+    starts = F.sequence(F.lit(0), F.size(items) - 1, side)
+    return F.when(F.size(items) == 0, F.array(items)).otherwise(F.transform(starts, lambda at: F.slice(items, at + 1, side)))
+
+
 def _spans(text: Column, rank: int, rule: Rule) -> Column:
     """Spans of one rule; the texts between matches, and the matches, give the positions."""
-    gaps = F.transform(F.split(text, rule.pattern), lambda x: F.length(x))
-    whole = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), lambda x: F.length(x))
-    tested = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)), lambda x: F.length(x)) if rule.group else whole
-    pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(whole)).alias("gap"), whole.alias("size"), tested.alias("tested"))
+    def placed(found: Column) -> Column:
+        gaps = F.transform(F.split(text, rule.pattern), lambda x: F.length(x))
+        tested = F.transform(found, lambda x: F.length(F.regexp_extract(x, rule.pattern, rule.group) if rule.group else x))
+        sizes = F.transform(found, lambda x: F.length(x))
+        pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), sizes.alias("size"), tested.alias("tested"))
+        return within(pairs, 2)["out"]
+
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,rank:int,kind:string>>").alias("out"))
+    outer = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,stop:int,rank:int,kind:string>>>").alias("out"))
+
+    def span(begin: Column, stop: Column) -> Column:
+        return F.struct(begin.alias("start"), stop.alias("stop"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"))
 
     def step(state: Column, p: Column) -> Column:
         begin = state["at"] + p["gap"]
         stop = begin + p["size"]
-        span = F.struct(begin.alias("start"), stop.alias("stop"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"))
-        return F.struct(stop.alias("at"), F.when(p["tested"] >= rule.least, F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"))
+        kept = F.concat(state["out"], F.array(span(begin, stop)))
+        return F.struct(stop.alias("at"), F.when(p["tested"] >= rule.least, kept).otherwise(state["out"]).alias("out"))
+
+    def within(block: Column, depth: int) -> Column:
+        if depth == 0:
+            return F.aggregate(block, start, step)
+        runs = _once(block, lambda each: F.transform(_in_blocks(each), lambda run: within(run, depth - 1)))
+        return F.aggregate(runs, outer, over, lambda s: F.struct(s["at"].alias("at"), F.flatten(s["out"]).alias("out")))
+
+    def over(state: Column, block: Column) -> Column:
+        moved = F.transform(block["out"], lambda s: span(s["start"] + state["at"], s["stop"] + state["at"]))
+        return F.struct((state["at"] + block["at"]).alias("at"), F.concat(state["out"], F.array(moved)).alias("out"))
 
-    return F.aggregate(pairs, start, step, lambda s: s["out"])
+    return _once(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), placed)
 
 
 def found_in(text: Column, rules: list[Rule] = RULES) -> Column:
     """All spans by start, then kind as listed."""
     none = F.array().cast("array<struct<start:int,stop:int,rank:int,kind:string>>")
     each = [F.when(text.rlike(r.hint), _spans(text, i, r)).otherwise(none) for i, r in enumerate(rules)]
-    return F.array_sort(F.concat(*each), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["rank"] - b["rank"]))
+    ordered = F.sort_array(F.transform(F.concat(*each), lambda s: F.struct(s["start"], s["rank"], s["stop"], s["kind"])))
+    return F.transform(ordered, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["rank"].alias("rank"), s["kind"].alias("kind")))
 
 
 def blobs(history: DataFrame, path: str = "doc_id") -> DataFrame:
@@ -111,15 +144,52 @@ def written(spans: Column) -> Column:
 
 
 def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
-    """The text with every span, overlapping ones together, replaced by ``mark``."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(state: Column, s: Column) -> Column:
-        apart = s["start"] >= state["at"]
-        kept = F.substr(text, state["at"] + 1, s["start"] - state["at"])
-        return F.struct(
-            F.greatest(state["at"], s["stop"]).alias("at"),
-            F.when(apart, F.concat(state["out"], F.array(kept, F.lit(mark)))).otherwise(state["out"]).alias("out"),
-        )
-
-    return F.aggregate(spans, start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substr(text, s["at"] + 1)))
+    """The text with every span, overlapping ones together, replaced by ``mark``.
+
+    The text is cut into pages once and the spans into runs; a run takes its stretch
+    from its pages and its pieces from that, so none is counted out from the start of the text.
+    """
+    pages = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PAGE}}}"), F.lit(0))
+    run_type = "array<struct<at:int,upto:int,spans:array<struct<start:int,stop:int,rank:int,kind:string>>>>"
+
+    def runs_of(each: Column, at: Column) -> Column:
+        """Runs of spans, each with the places up to which the text is done before and after it."""
+        def bound(state: Column, block: Column) -> Column:
+            upto = F.greatest(state["at"], F.array_max(F.transform(block, lambda s: s["stop"])))
+            run = F.struct(state["at"].alias("at"), upto.alias("upto"), block.alias("spans"))
+            return F.struct(upto.alias("at"), F.concat(state["out"], F.array(run)).alias("out"))
+
+        start = F.struct(at.alias("at"), F.array().cast(run_type).alias("out"))
+        return F.aggregate(_once(each, _in_blocks), start, bound)
+
+    def masked(run: Column, stretch: Column, depth: int) -> Column:
+        if depth == 0:
+            start = F.struct(run["at"].alias("at"), F.array().cast("array<string>").alias("out"))
+
+            def step(state: Column, s: Column) -> Column:
+                kept = F.substr(stretch, state["at"] - run["at"] + 1, s["start"] - state["at"])
+                longer = F.concat(state["out"], F.array(kept, F.lit(mark)))
+                return F.struct(
+                    F.greatest(state["at"], s["stop"]).alias("at"),
+                    F.when(s["start"] >= state["at"], longer).otherwise(state["out"]).alias("out"),
+                )
+
+            return F.aggregate(run["spans"], start, step, lambda s: F.array_join(s["out"], ""))
+
+        def part(inner: Column) -> Column:
+            cut = F.substr(stretch, inner["at"] - run["at"] + 1, inner["upto"] - inner["at"])
+            return _once(cut, lambda shorter: masked(inner, shorter, depth - 1))
+
+        return F.array_join(F.transform(runs_of(run["spans"], run["at"])["out"], part), "")
+
+    def of_pages(run: Column, leaves: Column) -> Column:
+        page = F.floor(run["at"] / PAGE).cast("int")
+        several = F.slice(leaves, page + 1, F.floor(run["upto"] / PAGE).cast("int") - page + 1)
+        stretch = F.substr(F.array_join(several, ""), run["at"] - page * PAGE + 1, run["upto"] - run["at"])
+        return _once(stretch, lambda s: masked(run, s, 1))
+
+    def joined(runs: Column) -> Column:
+        done = _once(pages, lambda leaves: F.array_join(F.transform(runs["out"], lambda run: of_pages(run, leaves)), ""))
+        return F.concat(done, F.substr(text, runs["at"] + 1))
+
+    return _once(runs_of(spans, F.lit(0)), joined)

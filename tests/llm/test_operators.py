@@ -278,6 +278,28 @@ def test_secret_spans_and_ledger(docs, rows, none):
     assert secret_scans.scan(none)[0].count() == 0
 
 
+def test_secret_scan_of_many_matches(spark):
+    """A long list of digests: every span and the masked text, in time that grows with the list."""
+    for n in (1, 5, 17, 30_000):
+        text = "".join(f"é{i}\U0001f511 {hashlib.sha256(str(i).encode()).hexdigest()[: 31 + i % 3]}\n" for i in range(n)) + "token: https://a:b@c password=12345678"
+        spans = F.col("found")
+        scanned = spark.createDataFrame([(text,)], "text string").withColumn("found", secret_scans.found_in(F.col("text")))
+        row = scanned.select("found", secret_scans.redacted(F.col("text"), spans).alias("clean")).collect()[0]
+        got = [(s["start"], s["stop"], s["kind"]) for s in row["found"]]
+        wanted = [
+            (m.start(), m.end(), r.kind, k) for k, r in enumerate(secret_scans.RULES)
+            for m in re.finditer(r.pattern, text) if len(m.group(r.group)) >= r.least
+        ]
+        wanted.sort(key=lambda w: (w[0], w[3]))
+        assert got == [w[:3] for w in wanted]
+        clean, at = [], 0
+        for begin, end, _, _ in wanted:
+            if begin >= at:
+                clean += [text[at:begin], "[secret]"]
+            at = max(at, end)
+        assert row["clean"] == "".join(clean) + text[at:]
+
+
 def test_secret_scan_of_very_long_runs(spark):
     run, login = "abcdef0123" * 60_000, " https://u:p@h eyJ" + "eyJ" * 200_000
     df = spark.createDataFrame([(1, "g" * 600_000 + login), (2, run + login)], "doc_id long, text string")
