@@ -10,6 +10,7 @@ log into chunks folded apart from each other.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -96,17 +97,28 @@ def _context_columns() -> list[Column]:
 CONTEXT = ["ctx_zone_id", "ctx_zone_name", "ctx_difficulty", "ctx_group_size", "ctx_server_id", "local_player_id"]
 
 
-def _flags(events: DataFrame, catalog: Catalog, matcher: EncounterMatcher, victory_hits: DataFrame | None) -> DataFrame:
+def _known_targets(catalog: Catalog) -> tuple[DataFrame, DataFrame]:
+    """(NPC ids with their catalogue name and whether they concern an encounter, names that do)."""
+    keys = catalog.matching_keys()
+    names = keys.filter(F.col("kind").isin("name", "victim")).select(F.col("key").alias("__name")).distinct()
+    ids = keys.filter(F.col("kind").isin("npc", "defined")).select(F.col("key").alias("target_npc_id")).distinct()
+    listed = catalog.npc_catalog.select(F.col("npc_id").alias("target_npc_id"), F.col("name").alias("__catalog_name"))
+    both = listed.join(ids.withColumn("__by_id", F.lit(True)), "target_npc_id", "full_outer")
+    named = both.join(names.withColumn("__by_name", F.lit(True)), combat.normalise(F.col("__catalog_name")) == F.col("__name"), "left")
+    known = F.coalesce("__by_id", "__by_name", F.lit(False)).alias("__known_id")
+    return named.select("target_npc_id", "__catalog_name", known), names
+
+
+def _flags(events: DataFrame, catalog: Catalog, victory_hits: DataFrame | None) -> DataFrame:
     """Narrow events with everything the segmentation rule looks at."""
-    npcs = catalog.npc_catalog.select(F.col("npc_id").alias("target_npc_id"), F.col("name").alias("__catalog_name"))
+    npcs, names = _known_targets(catalog)
+    raw = combat.normalise(F.col("target_name"))
     named = events.filter(F.col("type") != "disciplineChanged").join(npcs, "target_npc_id", "left")
+    named = named.join(names, raw == F.col("__name"), "left")
     canonical = combat.normalise(F.coalesce("__catalog_name", "target_name"))
-    names, ids = sorted(matcher.names), sorted(matcher.npc_ids)
-    known = (
-        canonical.isin(names) | combat.normalise(F.col("target_name")).isin(names) | F.col("target_npc_id").isin(ids)
-    )
+    known = F.coalesce("__known_id", F.lit(False)) | F.col("__name").isNotNull()
     text = F.lower(F.concat_ws(" ", *combat.spoken()))
-    markers = matcher.text_markers
+    markers = catalog.text_markers()
     marked = text.rlike("|".join(markers)) if markers else F.lit(False)
     flags = named.select(
         "log_id", "line_number", "ts_ms",
@@ -217,6 +229,49 @@ def decision_steps(flags: DataFrame, options: Options) -> DataFrame:
     )
 
 
+#: Line of the row that brings a chunk its candidates; it sorts before every step.
+CANDIDATES_LINE = -1
+
+
+def _candidates(steps: DataFrame, catalog: Catalog) -> DataFrame:
+    """One row a chunk: the encounters and definitions that its engaged bosses lead to, as JSON.
+
+    An encounter that no engaged name or id leads to has no score, so the others
+    decide a match alone. What a chunk gets grows with the bosses it meets, not
+    with the catalogue.
+    """
+    pair = F.explode("engaged").alias("pair")
+    engaged = steps.select("log_id", "chunk_line", pair).distinct()
+    sides = F.explode(F.array(
+        F.struct(F.lit("name").alias("kind"), F.col("pair.name").alias("key")),
+        F.struct(F.lit("npc").alias("kind"), F.col("pair.npc_id").alias("key")),
+        F.struct(F.lit("defined").alias("kind"), F.col("pair.npc_id").alias("key")),
+    )).alias("side")
+    touched = engaged.select("log_id", "chunk_line", sides).select("log_id", "chunk_line", "side.*").distinct()
+    met = touched.join(catalog.matching_keys(), ["kind", "key"])
+    met = met.select("log_id", "chunk_line", (F.col("kind") == "defined").alias("defined"), "id").distinct()
+
+    def written(*columns: str):
+        return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("row")
+
+    encounters = catalog.matching()
+    encounters = encounters.select(F.lit(False).alias("defined"), "id", F.col("catalog_order").alias("place"), written(*encounters.columns))
+    definitions = catalog.encounter_defs.withColumn("bossNpcIds", F.col("boss_npc_ids"))
+    definitions = definitions.select(F.lit(True).alias("defined"), "id", F.lit(0).alias("place"), written("id", "bossNpcIds"))
+    rows = met.join(encounters.unionByName(definitions), ["defined", "id"])
+
+    def ordered(which):
+        return F.array_sort(F.collect_list(F.when(which, F.struct("place", "id", "row")))).getField("row")
+
+    packed = rows.groupBy("log_id", "chunk_line").agg(ordered(~F.col("defined")).alias("encounters"), ordered(F.col("defined")).alias("definitions"))
+    return packed.select("log_id", "chunk_line", F.lit(CANDIDATES_LINE).cast("bigint").alias("line"), F.to_json(F.struct("encounters", "definitions")).alias("candidates"))
+
+
+def _matcher(candidates: str) -> EncounterMatcher:
+    found = json.loads(candidates)
+    return EncounterMatcher(*[[json.loads(row) for row in found[part]] for part in ("encounters", "definitions")])
+
+
 _FOLD_SCHEMA = (
     "log_id {log_type}, chunk_line bigint, entry_bit int, start_line bigint, started_at bigint, ended_at bigint, "
     "close_line bigint, end_reason string, hit boolean, ctx_zone_id string, ctx_zone_name string, "
@@ -284,7 +339,7 @@ class _ChunkFold:
         return bits[0], bits[0]
 
 
-def _fold_partitions(matcher: EncounterMatcher, options: Options):
+def _fold_partitions(options: Options):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, chunk, out = None, None, []
 
@@ -305,8 +360,10 @@ def _fold_partitions(matcher: EncounterMatcher, options: Options):
                 if (row.log_id, row.chunk_line) != key:
                     if key is not None:
                         flush()
+                    matcher = _matcher(row.candidates) if row.line == CANDIDATES_LINE else EncounterMatcher([])
                     key, chunk = (row.log_id, row.chunk_line), _ChunkFold(matcher, options)
-                chunk.push(_step(row))
+                if row.line != CANDIDATES_LINE:
+                    chunk.push(_step(row))
             if len(out) >= 10_000:
                 yield frame()
                 out.clear()
@@ -343,13 +400,12 @@ def _entry_bits(chunks: DataFrame, options: Options) -> DataFrame:
 
 def pull_candidates(events: DataFrame, catalog: Catalog, options: Options, victory_hits: DataFrame | None = None) -> DataFrame:
     """Every pull the state machine closes, before trivial ones are discarded."""
-    matcher = EncounterMatcher(catalog.encounter_index(), catalog.definition_index())
-    steps = decision_steps(_flags(events, catalog, matcher, victory_hits), options)
+    steps = staged(decision_steps(_flags(events, catalog, victory_hits), options))
     log_type = dict(events.dtypes)["log_id"]
     folded = staged(
-        steps.repartition("log_id", "chunk_line")
+        steps.unionByName(_candidates(steps, catalog), allowMissingColumns=True).repartition("log_id", "chunk_line")
         .sortWithinPartitions("log_id", "chunk_line", "line")
-        .mapInPandas(_fold_partitions(matcher, options), _FOLD_SCHEMA.format(log_type=log_type))
+        .mapInPandas(_fold_partitions(options), _FOLD_SCHEMA.format(log_type=log_type))
     )
     chunks = folded.filter("final_0 IS NOT NULL").select("log_id", "chunk_line", "final_0", "final_1")
     bits = _entry_bits(chunks, options)

@@ -2,8 +2,8 @@
 
 The tables are joined without forced hints, so the optimizer broadcasts them
 while they are below ``spark.sql.autoBroadcastJoinThreshold`` and shuffles them
-beyond it.  Only the encounter index that the segmentation fold reads is brought
-to the driver, after its row count has been checked.
+beyond it.  Batch segmentation meets them by joins alone; only the live fold and
+the mechanics of definitions bring an index to the driver, after its row count has been checked.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import json
 from dataclasses import dataclass, fields
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, DataType, StructType
@@ -105,21 +105,47 @@ class Catalog:
         )
         return self.encounters.join(ops, "operation_id", "left")
 
-    def encounter_index(self) -> list[dict]:
-        """Matching data of every encounter, size-checked before it reaches the driver."""
+    def matching(self) -> DataFrame:
+        """Matching data of every encounter."""
         observed = self.observed.groupBy(F.col("encounter_id").alias("id")).agg(
             F.collect_set("npc_id").alias("observed_ids")
         )
-        rows = (
-            self.list_encounters()
-            .join(observed, "id", "left")
-            .select(
-                "id", "catalog_order", "boss_names", "victory_requires", "boss_npc_ids", "observed_ids",
-                "zone_ids", "zone_names", "victory_event",
-            )
-            .limit(MAX_INDEX_ROWS + 1)
-            .collect()
+        return self.list_encounters().join(observed, "id", "left").select(
+            "id", "catalog_order", "boss_names", "victory_requires", "boss_npc_ids", "observed_ids",
+            "zone_ids", "zone_names", "victory_event",
         )
+
+    def matching_keys(self) -> DataFrame:
+        """(kind, key, id): the boss names and NPC ids that lead to an encounter or a definition.
+
+        Kinds are ``name`` and ``npc`` for encounters, ``victim`` for names that only
+        their victory asks for, and ``defined`` for the bosses of definitions.
+        """
+        listed = {
+            "name": F.col("boss_names"), "victim": F.col("victory_requires"),
+            "npc": F.concat(*[F.coalesce(c, F.array().cast("array<string>")) for c in ("boss_npc_ids", "observed_ids")]),
+        }
+
+        def paired(kind: str, keys: Column) -> Column:
+            pairs = F.transform(keys, lambda key: F.struct(F.lit(kind).alias("kind"), key.alias("key")))
+            return F.coalesce(pairs, F.array().cast("array<struct<kind:string,key:string>>"))
+
+        pairs = F.concat(*[paired(kind, keys) for kind, keys in listed.items()])
+        encounters = self.matching().select("id", F.explode(pairs).alias("pair")).select("pair.*", "id")
+        bosses = self.encounter_defs.select(F.lit("defined").alias("kind"), F.explode("boss_npc_ids").alias("key"), "id")
+        return encounters.unionByName(bosses).filter(F.col("key").isNotNull()).distinct()
+
+    def text_markers(self) -> list[str]:
+        """Marker words that some encounter accepts as textual victory evidence: one row of an aggregate."""
+        victory = F.lower("victory_event")
+        textual = ~F.coalesce(victory.rlike(fixed.BOSS_DEFEAT_TEXT), F.lit(False))
+        uses = [F.bool_or(textual & F.contains(victory, F.lit(m))).alias(m) for m in fixed.VICTORY_MARKERS]
+        row = self.encounters.agg(*uses).first()
+        return [m for m in fixed.VICTORY_MARKERS if row[m]]
+
+    def encounter_index(self) -> list[dict]:
+        """Matching data of every encounter for the live fold, size-checked before it reaches the driver."""
+        rows = self.matching().limit(MAX_INDEX_ROWS + 1).collect()
         if len(rows) > MAX_INDEX_ROWS:
             raise ValueError(f"encounter catalogue exceeds {MAX_INDEX_ROWS} rows")
         return sorted((r.asDict() for r in rows), key=lambda r: r["catalog_order"])
