@@ -97,7 +97,7 @@ def _stored_beside(new: DataFrame, path: str) -> DataFrame | None:
 
 def _replace_reports(rows: DataFrame, path: str, spread: list[str], order: list[str]) -> None:
     """Rewrites the (guild, report) partitions that ``rows`` names and no others."""
-    whole = staged(rows)  # the rewrite must not read the files that it replaces
+    whole = staged(rows, packed=True)  # the rewrite must not read the files that it replaces
     laid = whole.repartition(*REPORT, *spread).sortWithinPartitions(*REPORT, *order)
     laid.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*REPORT).parquet(path)
 
