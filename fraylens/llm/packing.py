@@ -19,12 +19,15 @@ their own; an empty table gives no rows.
 
 from __future__ import annotations
 
+import itertools
 import os
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -37,6 +40,10 @@ END_ID = 0
 BUCKET_ROWS = 200_000
 #: Words of the younger and of the older generation that a worker remembers, each.
 _WORDS_KEPT = 450_000
+#: New words that are encoded as one text.
+_LEARNT = 2_000
+#: Text whose words are looked up at once.
+_TEXT_BYTES = 8_000_000
 #: ASCII punctuation.
 _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -47,17 +54,32 @@ class _WordIds(dict):
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.older: dict[bytes, bytes] = {}
-
-    def of(self, texts: list[list[bytes]]) -> list[bytes]:
+        # Whether an id closes a word; unknown where some letter has no id that does.
+        vocab, suffix = self.tokenizer.get_vocab(with_added_tokens=False), getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.closes = None
+        if suffix and all(c + suffix in vocab for c in ByteLevel.alphabet()):
+            self.closes = np.zeros(max(vocab.values()) + 1, bool)
+            self.closes[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
+
+    def of(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text. Arrow cuts the texts and counts their words; Python sees a word of a batch once."""
         if len(self) > _WORDS_KEPT:
             self.older = dict(self)
             self.clear()
-        self._know({w for words in texts for w in words if w not in self})
-        get = self.__getitem__
-        return [b"".join(map(get, words)) for words in texts]
+        cut = pc.ascii_split_whitespace(texts.view(pa.string()))
+        coded = cut.flatten().dictionary_encode()
+        words = _folded(coded.dictionary.cast(pa.binary())).to_numpy(zero_copy_only=False).tolist()
+        self._know({w for w in words if w not in self})
+        known = pa.array(map(self.__getitem__, words), pa.large_binary(), size=len(words))
+        found = known.take(coded.indices)
+        ends = np.frombuffer(found.buffers()[1], np.int64, len(found) + 1, 8 * found.offset)
+        ends = ends[cut.offsets.to_numpy() - cut.offsets[0].as_py()].tolist()
+        data = memoryview(found.buffers()[2] or b"")
+        return [bytes(data[a:b]) for a, b in itertools.pairwise(ends)]
 
     def _know(self, words: set[bytes]) -> None:
         """Adds new words. Letters with ASCII punctuation behind them are encoded apart: no token spans the two."""
@@ -74,37 +96,49 @@ class _WordIds(dict):
                 whole.add(w)
         for w in [w for w in whole if w in self.older]:
             self[w] = self.older[w]
-        new = [w for w in whole if w not in self]
-        for at in range(0, len(new), 20_000):
-            self._learn(new[at : at + 20_000])
+        new = [(w, w.decode("utf-8", "replace")) for w in whole if w not in self]
+        letters = [x for x in new if x[1].isalpha()]
+        for at in range(0, len(letters), _LEARNT):
+            self._learn_letters(letters[at : at + _LEARNT])
+        self._learn([x for x in new if not x[1].isalpha()])
         for w, core, marks in parted:
             self[w] = self[core] + self[marks]
 
-    def _learn(self, words: list[bytes]) -> None:
-        """Encodes new words as one text; where a token begins tells its word."""
-        plain = [w.decode("utf-8", "replace") for w in words]
-        found = self.tokenizer.encode(" ".join(plain), add_special_tokens=False)
-        begins = np.array([a for a, _ in found.offsets], np.int64)
-        ends = np.cumsum([len(w) + 1 for w in plain])
-        cuts = np.searchsorted(begins, ends, side="left").tolist()
-        ids, last = np.array(found.ids, "<u4").tobytes(), 0
-        for word, cut in zip(words, cuts, strict=True):
-            self[word] = ids[4 * last : 4 * cut]
+    def _learn_letters(self, words: list[tuple[bytes, str]]) -> None:
+        """Encodes new words of letters as one text. Each ends in an id that closes a word; if all hold just one, these ids tell them apart."""
+        if self.closes is not None:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([text for _, text in words])], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (np.flatnonzero(self.closes[ids]) + 1).tolist()
+            if len(cuts) == len(words):
+                self._cut(words, ids, cuts)
+                return
+        self._learn(words)
+
+    def _learn(self, words: list[tuple[bytes, str]]) -> None:
+        """Encodes new words as texts of many; where a token begins tells its word."""
+        for at in range(0, len(words), _LEARNT):
+            some = words[at : at + _LEARNT]
+            found = self.tokenizer.encode(" ".join([text for _, text in some]), add_special_tokens=False)
+            begins = np.array([a for a, _ in found.offsets], np.int64)
+            ends = np.cumsum([len(text) + 1 for _, text in some])
+            self._cut(some, np.array(found.ids, "<u4"), np.searchsorted(begins, ends, side="left").tolist())
+
+    def _cut(self, words: list[tuple[bytes, str]], ids: np.ndarray, cuts: list[int]) -> None:
+        data, last = ids.tobytes(), 0
+        for (word, _), cut in zip(words, cuts, strict=True):
+            self[word] = data[4 * last : 4 * cut]
             last = cut
 
 
-def _folded(text: bytes) -> list[bytes]:
-    """Words of a text without ASCII capitals, where these are lost to the vocabulary anyway.
+def _folded(words: pa.Array) -> pa.Array:
+    """Words without ASCII capitals, where these are lost to the vocabulary anyway.
 
     They are not in what could be a special token, nor before a combining mark (lead
     byte 0xCC or 0xCD): the vocabulary composes letters and marks before it
     lower-cases, and some marks compose with the small letter alone.
     """
-    if b"<|" in text:
-        return text.split()
-    if b"\xcc" in text or b"\xcd" in text:
-        return [w if b"\xcc" in w or b"\xcd" in w else w.lower() for w in text.split()]
-    return text.lower().split()
+    kept = [pc.match_substring(words, mark) for mark in (b"<|", b"\xcc", b"\xcd")]
+    return pc.if_else(pc.or_(pc.or_(kept[0], kept[1]), kept[2]), words, pc.ascii_lower(words.view(pa.string())).view(pa.binary()))
 
 
 #: Texts in which the parts that are looked up apart meet.
@@ -115,7 +149,7 @@ def _checked(words: _WordIds) -> _WordIds:
     """Refuses a vocabulary whose tokens span words, or letters and the marks behind them, or keep ASCII capitals apart."""
     for text in _PROBES:
         whole = np.array(words.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if words.of([_folded(text.encode())])[0] != whole:
+        if words.of(pa.array([text.encode()]))[0] != whole:
             raise ValueError("this vocabulary does not encode words apart from each other and without regard to ASCII case")
     return words
 
@@ -123,6 +157,16 @@ def _checked(words: _WordIds) -> _WordIds:
 _TOKENIZERS: dict[str, _WordIds] = {}
 
 
+def _few(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Places and counts of runs of texts, of about ``_TEXT_BYTES`` or one text each."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(texts):
+        n = max(1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _TEXT_BYTES, "right")) - at)
+        yield at, n
+        at += n
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of every piece."""
     end = np.array([END_ID], "<u4").tobytes()
@@ -131,14 +175,13 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
         words = _TOKENIZERS.get(tokenizer) or _TOKENIZERS.setdefault(tokenizer, _checked(_WordIds(tokenizer)))
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(ids), 256):  # a few documents at a time: their words are in memory at once
-                split = [_folded(t) for t in texts.slice(at, 256).to_pylist()]
+            for at, n in _few(texts):  # their words are in memory at once
                 rows = []
-                for doc, got in zip(ids[at : at + 256], words.of(split), strict=True):
+                for doc, got in zip(ids[at : at + n], words.of(texts.slice(at, n)), strict=True):
                     data = got + end
-                    n = len(data) // 4
+                    size = len(data) // 4
                     rows += [
-                        (doc, i, s, min(capacity, n - s), zlib.crc32(data[4 * s : 4 * (s + capacity)])) for i, s in enumerate(range(0, n, capacity))
+                        (doc, i, s, min(capacity, size - s), zlib.crc32(data[4 * s : 4 * (s + capacity)])) for i, s in enumerate(range(0, size, capacity))
                     ]
                 columns = list(zip(*rows, strict=True))
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
