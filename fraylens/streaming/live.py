@@ -10,6 +10,7 @@ from __future__ import annotations
 import pickle
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -265,6 +266,35 @@ def timed(events: DataFrame) -> DataFrame:
     return events.withColumn("event_time", F.timestamp_millis("ts_ms"))
 
 
+#: State partitions a core of a run over what is there, and their least number.
+CORE_STATES, LEAST_STATES = 4, 32
+#: Bytes of a generated method beyond which the JVM only interprets it.
+COMPILED_BYTES = 8_000
+
+
+@contextmanager
+def bounded(spark: SparkSession) -> Iterator[None]:
+    """Settings of streams started inside, for runs whose checkpoint ends with them.
+
+    A state is dealt over a few partitions a core, never more than the session asks for: unlike
+    those of a batch they are not merged, and each costs a store and a Python worker's start in
+    every micro-batch. Wide events are not put through one generated method that is never compiled.
+    """
+    asked = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    settings = {
+        "spark.sql.shuffle.partitions": min(asked, max(CORE_STATES * spark.sparkContext.defaultParallelism, LEAST_STATES)),
+        "spark.sql.codegen.hugeMethodLimit": COMPILED_BYTES,
+    }
+    before = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a stream over everything that is there and reads back what it wrote.
 
@@ -274,9 +304,10 @@ def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
     spark: SparkSession = stream.sparkSession
     base = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     writer = stream.writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
-    if mode == "append":
-        query = writer.outputMode("append").format("parquet").start(f"{base}/table")
-    else:
-        query = writer.outputMode(mode).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{base}/table")).start()
+    with bounded(spark):
+        if mode == "append":
+            query = writer.outputMode("append").format("parquet").start(f"{base}/table")
+        else:
+            query = writer.outputMode(mode).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{base}/table")).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/table")

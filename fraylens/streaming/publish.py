@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fraylens.operators.staging import new_path
+from fraylens.streaming.live import bounded
 
 Hook = Callable[[DataFrame, int], None]
 
@@ -63,5 +64,7 @@ def landed(parts: list[DataFrame], build: Callable[[DataFrame], DataFrame], **op
     for part in parts:
         part.write.mode("append").parquet(f"{base}/in")
         stream = build(spark.readStream.schema(parts[0].schema).parquet(f"{base}/in"))
-        publish(stream, f"{base}/table", f"{base}/checkpoint", **options).awaitTermination()
+        with bounded(spark):
+            query = publish(stream, f"{base}/table", f"{base}/checkpoint", **options)
+        query.awaitTermination()
     return published(spark, f"{base}/table", stream.schema)
