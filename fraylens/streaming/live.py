@@ -268,31 +268,21 @@ def timed(events: DataFrame) -> DataFrame:
 
 #: State partitions a core of a run over what is there, and their least number.
 CORE_STATES, LEAST_STATES = 4, 32
-#: Bytes of a generated method beyond which the JVM only interprets it.
-COMPILED_BYTES = 8_000
 
 
 @contextmanager
 def bounded(spark: SparkSession) -> Iterator[None]:
-    """Settings of streams started inside, for runs whose checkpoint ends with them.
+    """Streams started inside deal their state over a few partitions a core, never more than the session asks for.
 
-    A state is dealt over a few partitions a core, never more than the session asks for: unlike
-    those of a batch they are not merged, and each costs a store and a Python worker's start in
-    every micro-batch. Wide events are not put through one generated method that is never compiled.
+    The partitions of a state are not merged as those of a batch are, and each costs a store and
+    a Python worker's start in every micro-batch. Only for runs whose checkpoint ends with them.
     """
-    asked = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    settings = {
-        "spark.sql.shuffle.partitions": min(asked, max(CORE_STATES * spark.sparkContext.defaultParallelism, LEAST_STATES)),
-        "spark.sql.codegen.hugeMethodLimit": COMPILED_BYTES,
-    }
-    before = {name: spark.conf.get(name) for name in settings}
+    asked = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", min(int(asked), max(CORE_STATES * spark.sparkContext.defaultParallelism, LEAST_STATES)))
     try:
-        for name, value in settings.items():
-            spark.conf.set(name, value)
         yield
     finally:
-        for name, value in before.items():
-            spark.conf.set(name, value)
+        spark.conf.set("spark.sql.shuffle.partitions", asked)
 
 
 def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
