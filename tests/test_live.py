@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from fraylens.operators.staging import new_path
 from fraylens.options import Options
 from fraylens.plans.registry import QUERIES
-from fraylens.streaming import announcer, arrivals, live, publish
-from fraylens.streaming.live import LiveSessions
+from fraylens.streaming import announcer, arrivals, publish
+from fraylens.streaming.live import CORE_STATES, LEAST_STATES, LiveSessions, bounded, run_available, stream_status
 
 SF = "/root/testdata/sf0.001"
 
@@ -171,17 +171,17 @@ def test_pull_hooks_see_a_pull_once_a_call(spark):
 
 def test_bounded_runs_deal_their_state_over_few_partitions(spark):
     kept = spark.conf.get("spark.sql.shuffle.partitions")
-    states = str(max(live.CORE_STATES * spark.sparkContext.defaultParallelism, live.LEAST_STATES))
+    states = str(max(CORE_STATES * spark.sparkContext.defaultParallelism, LEAST_STATES))
     try:
         for asked, given in (("2000", states), ("3", "3")):
             spark.conf.set("spark.sql.shuffle.partitions", asked)
-            with live.bounded(spark):
+            with bounded(spark):
                 assert spark.conf.get("spark.sql.shuffle.partitions") == given
             assert spark.conf.get("spark.sql.shuffle.partitions") == asked
         spark.conf.set("spark.sql.shuffle.partitions", "2000")
         source = new_path(spark, "source")
         spark.range(4).selectExpr("id % 2 AS log_id", "id AS ts_ms").write.parquet(source)
         stream = spark.readStream.schema("log_id bigint, ts_ms bigint").parquet(source)
-        assert {tuple(r) for r in live.run_available(live.stream_status(stream), "complete").collect()} == {(0, 2, 2), (1, 2, 3)}
+        assert {tuple(r) for r in run_available(stream_status(stream), "complete").collect()} == {(0, 2, 2), (1, 2, 3)}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", kept)
