@@ -113,7 +113,8 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, block: int = BLOCK, q
     blocks = rows.repartition(deal).mapInPandas(_blocks(block), _BLOCK_TYPE).withColumn("place", F.pmod(F.spark_partition_id(), F.lit(groups)))
     sent = blocks.select("ids", "lengths", "terms", "place", F.explode(each).alias("query_block"))
     met = packed.select("asked", "query_block", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("place"))
-    return _merged(sent.join(met, ["query_block", "place"]), k)
+    # The optimizer takes the copies of the query blocks for one (an explode keeps its estimate), so the join never broadcasts them.
+    return _merged(sent.join(met.hint("merge"), ["query_block", "place"]), k)
 
 
 def _merged(pairs: DataFrame, k: int) -> DataFrame:
