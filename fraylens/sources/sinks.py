@@ -96,9 +96,13 @@ def _stored_beside(new: DataFrame, path: str) -> DataFrame | None:
 
 
 def _replace_reports(rows: DataFrame, path: str, spread: list[str], order: list[str]) -> None:
-    """Rewrites the (guild, report) partitions that ``rows`` names and no others."""
-    whole = staged(rows, packed=True)  # the rewrite must not read the files that it replaces
-    laid = whole.repartition(*REPORT, *spread).sortWithinPartitions(*REPORT, *order)
+    """Rewrites the (guild, report) partitions that ``rows`` names and no others.
+
+    ``rows`` are written already: the rewrite must not read the files that it replaces.
+    Ranges of the report and ``spread`` keep a report together, so there are no more
+    files than reports and tasks, and one huge report is written by many tasks.
+    """
+    laid = rows.repartitionByRange(*REPORT, *spread).sortWithinPartitions(*REPORT, *order)
     laid.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*REPORT).parquet(path)
 
 
@@ -107,7 +111,7 @@ def upsert_fights(new: DataFrame, path: str, version: str = "updated_at") -> Non
     new = staged(new)
     stored = _stored_beside(new, path)
     merged = new if stored is None else stored.unionByName(new)
-    _replace_reports(latest_per_key(merged, FIGHT_KEY, [F.col(version)]), path, [], ["event_id"])
+    _replace_reports(staged(latest_per_key(merged, FIGHT_KEY, [F.col(version)]), packed=True), path, [], ["event_id"])
 
 
 def write_event_buckets(rows: DataFrame, guild_id: str, path: str) -> None:
@@ -120,8 +124,9 @@ def write_event_buckets(rows: DataFrame, guild_id: str, path: str) -> None:
     new = staged(rows.withColumns(keys))
     stored = _stored_beside(new, path)
     if stored is not None:
-        new = stored.join(new.select(*BUCKET_KEY).distinct(), BUCKET_KEY, "left_anti").unionByName(new)
-    # The bucket salts the shuffle: one huge fight is written by many tasks.
+        kept = stored.join(new.select(*BUCKET_KEY).distinct(), BUCKET_KEY, "left_anti")
+        new = staged(kept.unionByName(new), packed=True)
+    # The bucket is part of the range: one huge fight is written by many tasks.
     _replace_reports(new, path, ["fight_id", "bucket_index"], ["fight_id", "bucket_index", "part", "line_number"])
 
 
